@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .packing import op9
+from .pii import op2
+from .quality_rules import op8
+from .secrets import op6
 from .substring_dedup import op5
 from .suffix_dedup import op10
 
@@ -16,6 +20,10 @@ def on_documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": on_documents(op2),
+    "op6_secret_scan": on_documents(op6),
+    "op8_quality_rules": on_documents(op8),
+    "op9_packing": on_documents(op9),
     "op5_substring_dedup": on_documents(op5),
     "op10_suffix_dedup": on_documents(op10),
 }
