@@ -11,13 +11,14 @@ unique, from the input partition and the place in it.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,29 +34,81 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 #: Words remembered by a Python worker, over all its tasks, and characters of text worked on at once.
-MOST_WORDS, PART_CHARS = 600_000, 1 << 20
+MOST_WORDS, PART_CHARS = 1_000_000, 4 << 20
+PUNCTUATED = re.compile(r"([a-z]+)([.,;:!?|%&*$#]+)")
+EMPTY = np.zeros(0, "<u4")
 
 
 class Words:
-    """Ids of each blank-separated word. The tokenizer drops white space and never joins over it, so words can be kept apart."""
+    """Ids of whole texts, from those of their words.
+
+    The tokenizer drops white space, never joins over it and lower-cases, so words can be kept apart, after A-Z are
+    lower-cased. A letters-only word is one unit to it, as is a run of punctuation. Texts with special tokens' first
+    characters go through the tokenizer whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
+    def whole(self, words: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(words), 10_000):
+            for e in self.tokenizer.encode_batch_fast(words[i : i + 10_000], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+
+    def letters(self, words: list[str]) -> Iterator[bytes]:
+        """Of letters-only words, many in one call."""
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            unit = np.array(e.word_ids, np.int64)
+            if not len(unit) or unit[-1] != len(part) - 1 or len(np.unique(unit)) != len(part):
+                yield from self.whole(part)
+                continue
+            raw, stop = np.array(e.ids, "<u4").tobytes(), (4 * np.searchsorted(unit, np.arange(len(part)), side="right")).tolist()
+            at = 0
+            for x in stop:
+                yield raw[at:x]
+                at = x
+
+    def learn(self, words: list[str]) -> None:
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + 2 * len(new) > MOST_WORDS:
+            known.clear()
+            new = words
+        joined = [(w, *m.groups()) for w in new if (m := PUNCTUATED.fullmatch(w))]
+        rest = {*new}.difference(w for w, _, _ in joined).union(x for _, *ends in joined for x in ends).difference(known)
+        alone = [w for w in rest if w.isalpha()]
+        known.update(zip(alone, self.letters(alone), strict=True))
+        other = [w for w in rest if not w.isalpha()]
+        known.update(zip(other, self.whole(other), strict=True))
+        known.update((w, known[a] + known[b]) for w, a, b in joined)
+
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, then the end."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > MOST_WORDS:
-            self.known.clear()
-            new = list(set().union(*split))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.known.update(zip(part, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        for words in split:
-            yield np.fromiter(chain(chain.from_iterable(map(self.known.__getitem__, words)), (END,)), "<u4")
+        special = {i for i, t in enumerate(texts) if "<|" in t}
+        plain = pa.array([t if "<|" not in t else "" for t in texts], pa.large_string())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        coded = lists.values.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        self.learn(names)
+        own = [self.known[w] for w in names]
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        begin = np.cumsum(sizes) - sizes
+        table = np.frombuffer(b"".join(own), "<u4") if own else EMPTY
+        word = coded.indices.to_numpy()
+        n = sizes[word]
+        done = np.concatenate([[0], np.cumsum(n)])
+        ids = table[np.repeat(begin[word] - done[:-1], n) + np.arange(done[-1])] if len(word) else EMPTY
+        at = done[lists.offsets.to_numpy()]
+        end = np.array([END], "<u4")
+        for i in range(len(texts)):
+            if i in special:
+                yield np.array([*self.tokenizer.encode(texts[i], add_special_tokens=False).ids, END], "<u4")
+            else:
+                yield np.concatenate([ids[at[i] : at[i + 1]], end])
 
 
 @cache

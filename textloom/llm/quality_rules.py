@@ -35,6 +35,8 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     d = d.withColumn("lines", lines).withColumn("hash", F.transform("w", lambda x: F.xxhash64(x)))
     window = F.when(F.col("n_words") >= 8, F.transform(F.sequence(F.lit(1), F.col("n_words").cast("int") - 7), lambda i: F.xxhash64(*(F.get("hash", i + (j - 1)) for j in range(8)))))
     d = d.withColumn("h", window)
+    by_hash = F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    d = d.withColumn("s", F.when(F.size("h") > F.size(F.array_distinct("h")), by_hash).otherwise(F.lit(None)))
     return d.select(
         "doc_id",
         "host",
@@ -42,26 +44,18 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
         F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        F.when(F.size("h") > F.size(F.array_distinct("h")), repeated(F.col("w"), F.col("h"))).otherwise(F.lit(0)).cast("bigint").alias("n_repeat_words"),
+        F.coalesce(repeated(F.col("w"), F.col("s")), F.lit(0)).cast("bigint").alias("n_repeat_words"),
     )
 
 
-def repeated(w: Column, h: Column) -> Column:
-    """Words covered by 8-word windows that occur twice or more: equal hashes side by side after sorting, confirmed on the words, then the length of the union."""
-    pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    n = F.size(h)
+def repeated(w: Column, s: Column) -> Column:
+    """Words covered by 8-word windows that occur twice or more. s: windows' hashes and places, sorted, so equal ones stand side by side; they are confirmed on the words."""
 
-    def same(s: Column, a: Column, b: Column) -> Column:
-        x, y = F.get(s, a), F.get(s, b)
-        return (x["h"] == y["h"]) & (F.slice(w, x["i"] + 1, 8) == F.slice(w, y["i"] + 1, 8))
+    def pair(a: Column, b: Column) -> Column:
+        return F.when(a["h"] == b["h"], F.when(F.slice(w, a["i"] + 1, 8) == F.slice(w, b["i"] + 1, 8), F.array(a["i"], b["i"])))
 
-    at = F.array_sort(
-        F.transform(
-            F.filter(pairs, lambda p, j: F.lit(True)),
-            lambda p, j: F.when(((j > 0) & F.coalesce(same(pairs, j - 1, j), F.lit(False))) | ((j < n - 1) & F.coalesce(same(pairs, j, j + 1), F.lit(False))), p["i"]),
-        )
-    )
-    at = F.filter(at, lambda x: x.isNotNull())
+    pairs = F.filter(F.zip_with(s, F.slice(s, 2, F.size(s)), pair), lambda x: x.isNotNull())
+    at = F.array_sort(F.array_distinct(F.flatten(pairs)))
     return F.aggregate(at, F.struct(F.lit(0).alias("sum"), F.lit(-8).alias("last")), lambda acc, x: F.struct((acc["sum"] + F.least(F.lit(8), x - acc["last"])).alias("sum"), x.alias("last")), lambda acc: acc["sum"])
 
 
