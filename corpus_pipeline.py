@@ -6,9 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm import decontamination, near_dedup, packing, pii, quality_classifier
 from textloom.llm.common import read, staged
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier selects."""
+    return quality_classifier.select(docs, read(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, on shingles of five words at a similarity of 0.8."""
+    return near_dedup.one_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by kind marks."""
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents as sequences, with their token ids."""
+    return packing.pack(docs, with_ids=True)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("near-duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("personal data", redacted),
+    ("packing", packed),
+]
 
 #: SQL can't express the classifier's sampling, the edit-distance check and the tokenizer; a brute-force test stands in.
 ORACLE_SQL = None

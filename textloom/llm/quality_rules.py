@@ -17,6 +17,8 @@ from .common import documents, staged
 
 #: A host fails when its shrunk failure rate is at least HOST_RATE and HOST_SD prior deviations above the prior mean, or at least HOST_SURE.
 HOST_RATE, HOST_SD, HOST_SURE = 0.5, 2.0, 0.9
+#: Verdicts of up to so many hosts are broadcast (some 60 bytes each); more are joined.
+BROADCAST_HOSTS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -82,7 +84,9 @@ def host_verdicts(d: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """The counts, base_failed, host_rate and kept of each document."""
     d = staged(measured(docs, host).withColumn("base_failed", failed()), "rules")
-    v = host_verdicts(d)
+    v = staged(host_verdicts(d), "hosts")
+    if v.count() <= BROADCAST_HOSTS:
+        v = F.broadcast(v)
     return d.join(v, "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(F.col("host_rate") >= F.col("host_limit"), F.lit(False))).alias("kept"), "host_rate"
     )

@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .decontamination import op1
+from .lm import op3
+from .near_dedup import op7
 from .packing import op9
 from .pii import op2
+from .quality_classifier import op4
 from .quality_rules import op8
 from .secrets import op6
 from .substring_dedup import op5
@@ -20,8 +24,12 @@ def on_documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1,
     "op2_pii": on_documents(op2),
+    "op3_lm_score": on_documents(op3),
+    "op4_quality_classifier": op4,
     "op6_secret_scan": on_documents(op6),
+    "op7_near_dedup": on_documents(op7),
     "op8_quality_rules": on_documents(op8),
     "op9_packing": on_documents(op9),
     "op5_substring_dedup": on_documents(op5),
