@@ -28,6 +28,8 @@ from .components import components
 from .words import groups, hashed_words
 
 TREES, DEPTH, BRANCH, SMALL = 4, 3, 2, 256
+#: Rounds in which components are joined by their most similar members, before what is left is compared exhaustively.
+MERGES = 2
 SKETCH = 128
 #: Links are looked for from this estimate on: five deviations of the sketch below 0.8.
 MARGIN = 0.18
@@ -214,16 +216,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reps = staged(classes.select("rep", "sketch", "marks"), "reps")
     tree = F.explode(F.array(*(child(F.lit(0).cast("bigint"), F.lit(t), 0, j) for t in range(TREES) for j in range(BRANCH)))).alias("n")
     rows = staged(reps.select("rep", tree).select("rep", "n.tree", "n.path").distinct(), "nodes")
-    # stars: each representative and the chosen member of each of its nodes, the most similar of which is tried first
-    chosen = rows.groupBy("path").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "path")).alias("leader")).where("n > 1")
-    star = rows.join(chosen, "path").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"), "rep").distinct()
     sketch = reps.select("rep", "sketch")
-    star = star.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
-    close = staged(star.select("a", "b", "x", "y").distinct().mapInArrow(similar(least), "a bigint, b bigint, share double"), "stars")
-    ends = close.select("a", "b", "share", F.explode(F.array("a", "b")).alias("rep"))
+
+    def stars(rows: DataFrame, seed: int) -> DataFrame:
+        """a, b and share: members of nodes and the chosen member of another component, where similar."""
+        chosen = rows.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", "path", F.lit(seed))).alias("to")).where("lo < hi").select("path", "to")
+        pairs = rows.join(chosen, "path").where("comp <> to.comp").select(F.col("rep").alias("a"), F.col("to.rep").alias("b"))
+        both = pairs.select("a", "b").distinct().join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
+        near = both.select("a", "b", "x", "y").mapInArrow(similar(least), "a bigint, b bigint, share double")
+        return staged(near, "stars")
+
+    # first each representative with the most similar chosen member of its nodes
+    near = stars(rows.withColumn("comp", F.col("rep")), 0)
+    ends = near.select("a", "b", "share", F.explode(F.array("a", "b")).alias("rep"))
     best = ends.groupBy("rep").agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b")
     links = staged(confirmed(base, best, shingle, percent), "links")
     joined = components(links)
+    # then components with components, by their most similar members, so that a large group becomes one
+    for seed in range(1, MERGES + 1):
+        linked = rows.join(joined.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep")
+        of = joined.select("node", "component")
+        near = stars(linked, seed).join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+        best = near.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b")
+        links = staged(links.unionAll(confirmed(base, best, shingle, percent)), "links")
+        joined = components(links)
     # what is left: nodes with members of several components
     rows = rows.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "tree", "path", F.coalesce("component", "rep").alias("comp"))
     leaves = []
