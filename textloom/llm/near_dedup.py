@@ -7,7 +7,8 @@ they are small, small ones are compared exhaustively on sketches, and candidate
 
 Large groups of near copies can't be split by tokens and must not be compared pair by pair. So representatives are
 first linked to one chosen member of their nodes (the most similar one); members that this has joined are one component,
-nodes of one component are dropped, and in the nodes left only pairs of different components are compared. A node that
+nodes of one component are dropped, and in the nodes left only members of different components are compared: on sketches,
+and those with a likely partner on their full sets, within the node, which gives one link for two components. A node that
 stays large is dealt out in blocks: its largest component's members stand in one block each, the others in all.
 
 Null, empty and blank texts have empty sets: linked with nothing. Rows with a null doc_id are linked with nothing and
@@ -113,45 +114,77 @@ def similar(least: float) -> Callable:
     return run
 
 
-def within_nodes(least: float) -> Callable:
-    """Candidate pairs of different components in nodes whose rows stand together: columns node, block, rep, comp, sketch."""
-
-    def pairs(rep: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(comp, kind="stable")
-        rep, comp, sketch = rep[order], comp[order], sketch[order]
-        stop = np.searchsorted(comp, comp, side="right")
-        a, b = [], []
-        for i in range(len(rep)):
-            j = int(stop[i])
-            if j < len(rep):
-                hit = np.flatnonzero((sketch[j:] == sketch[i]).sum(1, dtype=np.int16) >= least * SKETCH) + j
-                if len(hit):
-                    a.append(np.full(len(hit), rep[i]))
-                    b.append(rep[hit])
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+def by_node(group: Callable, out: list[str]) -> Callable:
+    """Rows of one node and block, which stand together, to group(node, block, columns)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rep, comp, sketch = None, [], [], []
+        now, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            if len(rep) > 1:
-                yield from pairs(np.array(rep), np.array(comp), np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, SKETCH))
+            if len(held) > 1 and (rows := group(*now, *zip(*held, strict=True))):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if name == "block" else pa.int64()) for name, c in zip(out, zip(*rows, strict=True), strict=True)], out)
 
         for batch in batches:
-            for node, block, r, c, s in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for node, block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (node, block) != now:
                     yield from close()
-                    now, rep, comp, sketch = (node, block), [], [], []
-                rep.append(r)
-                comp.append(c)
-                sketch.append(s)
+                    now, held = (node, block), []
+                held.append(row)
         yield from close()
 
     return run
 
 
+def involved(least: float) -> Callable:
+    """Members of a node with a likely partner in another component."""
+
+    def group(node: int, block: int, reps: tuple, comps: tuple, sketches: tuple) -> list[tuple]:
+        comp, sketch = np.array(comps), np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
+        order = np.argsort(comp, kind="stable")
+        comp, sketch = comp[order], sketch[order]
+        stop = np.searchsorted(comp, comp, side="right").tolist()
+        some = np.zeros(len(comp), bool)
+        for i, j in enumerate(stop):
+            if j < len(comp):
+                hit = (sketch[j:] == sketch[i]).sum(1, dtype=np.int16) >= least * SKETCH
+                if hit.any():
+                    some[i] = True
+                    some[j:] |= hit
+        return [(node, block, reps[i], comps[i]) for i in order[some].tolist()]
+
+    return by_node(group, ["path", "block", "rep", "comp"])
+
+
+def linking(percent: int) -> Callable:
+    """Links between components in a node, one for each two, by the exact intersections of all its members' sets."""
+
+    def group(node: int, block: int, reps: tuple, comps: tuple, elements: tuple) -> list[tuple]:
+        own = [unpacked(e) for e in elements]
+        n = np.array([len(x) for x in own])
+        row = np.repeat(np.arange(len(own)), n)
+        _, column, uses = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        shared = uses > 1
+        number = np.cumsum(shared) - 1
+        row, column = row[shared[column]], number[column[shared[column]]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(own), len(own)), np.float32)
+        for a in range(0, int(shared.sum()), 4096):
+            i, j = np.searchsorted(column, (a, a + 4096))
+            m = np.zeros((len(own), 4096), np.float32)
+            m[row[i:j], column[i:j] - a] = 1
+            both += m @ m.T
+        comp = np.array(comps)
+        ok = (both > 0) & (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] < comp[None, :])
+        i, j = np.nonzero(ok)
+        if not len(i):
+            return []
+        _, first = np.unique(np.stack([comp[i], comp[j]]), axis=1, return_index=True)
+        return [(reps[x], reps[y]) for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True)]
+
+    return by_node(group, ["a", "b"])
+
+
 def full_sets(base: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """rep and its whole set, of the documents in ids (rep). A repeated doc_id gives one of its sets for each text."""
     sc = base.sparkSession.sparkContext
@@ -263,9 +296,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     of = F.when(F.col("comp") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
     dealt = small.unionAll(large.join(main, "path").select("path", F.explode(of).alias("block"), "rep", "comp"))
     parts = max(12, -(-source_bytes(docs) // (8 << 20)))
-    dealt = dealt.join(sketch, "rep").select("path", "block", "rep", "comp", "sketch").repartition(parts, "path", "block").sortWithinPartitions("path", "block")
-    more = dealt.mapInArrow(within_nodes(least), "a bigint, b bigint")
-    links = links.unionAll(confirmed(base, more, shingle, percent))
+
+    def together(rows: DataFrame, last: str) -> DataFrame:
+        return rows.select("path", "block", "rep", "comp", last).repartition(parts, "path", "block").sortWithinPartitions("path", "block")
+
+    some = staged(together(dealt.join(sketch, "rep"), "sketch").mapInArrow(involved(least), "path bigint, block int, rep bigint, comp bigint").distinct(), "involved")
+    own = staged(full_sets(base, some.select("rep").distinct(), shingle), "sets")
+    links = links.unionAll(together(some.join(own, "rep"), "elements").mapInArrow(linking(percent), "a bigint, b bigint"))
     joined = staged(components(links), "components")
     class_of = classes.select("digest", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(class_of, "digest", "left")
