@@ -278,23 +278,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     leaves = []
     for level in range(1, DEPTH + 1):
         rows = staged(rows, "nodes")
-        size = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("path", "n")
+        own = rows.groupBy("path", "comp").agg(F.count("*").alias("c"))
+        size = own.groupBy("path").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("most < n")
         rows = rows.join(size, "path")
-        last = level == DEPTH
-        leaves.append(rows.where(F.lit(last) | (F.col("n") <= SMALL)).select("path", "n", "rep", "comp"))
-        if not last:
-            rows = rows.where(F.col("n") > SMALL).select("rep", "tree", "path", "comp").join(reps.select("rep", "marks"), "rep")
+        # tokens don't part a node that one component fills by half
+        done = F.lit(level == DEPTH) | (F.col("n") <= SMALL) | (2 * F.col("most") >= F.col("n"))
+        leaves.append(rows.where(done).select("path", "n", "main", "rep", "comp"))
+        if level < DEPTH:
+            rows = rows.where(~done).select("rep", "tree", "path", "comp").join(reps.select("rep", "marks"), "rep")
             rows = rows.select("rep", "comp", F.explode(F.array(*(child(F.col("path"), F.col("tree"), level, j) for j in range(BRANCH)))).alias("x")).select("rep", "x.tree", "x.path", "comp").distinct()
     leaf = leaves[0]
     for x in leaves[1:]:
         leaf = leaf.unionAll(x)
-    leaf = staged(leaf, "leaves")
-    small = leaf.where(F.col("n") <= SMALL).select("path", F.lit(0).alias("block"), "rep", "comp")
-    large = leaf.where(F.col("n") > SMALL)
-    main = large.groupBy("path", "comp").agg(F.count("*").alias("c")).groupBy("path").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
     blocks = F.ceil(F.col("n") / SMALL).cast("int")
     of = F.when(F.col("comp") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
-    dealt = small.unionAll(large.join(main, "path").select("path", F.explode(of).alias("block"), "rep", "comp"))
+    dealt = staged(leaf.select("path", F.explode(of).alias("block"), "rep", "comp"), "leaves")
     parts = max(12, -(-source_bytes(docs) // (8 << 20)))
 
     def together(rows: DataFrame, last: str) -> DataFrame:
