@@ -1 +1 @@
-
+"""functions of the text-measurement engine."""

@@ -1 +1 @@
-
+"""operators of the text-measurement engine."""

@@ -1,0 +1,48 @@
+"""Lexical and pattern detectors: one query a rule, and the union of findings."""
+
+from __future__ import annotations
+
+from ..functions.dialect import Dialect
+
+#: The rules' words and patterns.
+RULES = {
+    "em-dash": r"—|---|\\textemdash",
+    "tier-a": r"(?i)\b(?:delves?|delving|delved|leverages|leveraging|leveraged|paves?|paved|paving|sheds?|shedding|showcases?|showcased|showcasing|utiliz(?:ing|es)|seamless(?:ly)?|holistic(?:ally)?|comprehensively|crucially|underscor(?:e|es|ed|ing)|tapestry|testament|pivotal|realms?)\b",
+    "tier-b": r"(?i)\b(?:furthermore|moreover|additionally|robust(?:ly)?|comprehensive|utilize|utilized|leverage|importantly|interestingly|notably|intricate|foster(?:s|ing|ed)?)\b",
+    "style-substitution": r"(?i)\b(?:in order to|aim to|facilitate|serves as)\b",
+    "three-parallel": r"(?i)\bnot only\b.+\bbut also\b.+\b(?:and|furthermore|moreover)\b",
+    "ing-tail": r"(?i),\s+(?:highlighting|underscoring|showcasing|emphasizing|emphasising|illustrating|demonstrating|signaling|signalling|revealing|reflecting)\b",
+    "colon-elaboration": r"(?:[A-Za-z0-9]|\})(?:: )[a-z$\\]",
+    "paragraph-start": r"^\s*(?:Importantly|Interestingly|Notably|Crucially),",
+    "tricolon-wrapup": r"(?i)^these\s+(?:two|three|four|five|six|seven|eight|[2-8])\s+(?:\w+\s+){1,2}(?:together|jointly|defines?|forms?)\b",
+    "antithesis": r"(?i)\b(?:rather than|instead of)\b",
+    "self-history": r"(?i)\b(?:previous draft|earlier draft|previous version|earlier version|no longer|we tried|we switched)\b",
+    "absence": r"(?i)\b(?:nothing is|nothing was|none sees|none enters)\b",
+    "edit-meta": r"\b(?:TODO|FIXME)\b",
+    "hedge-stack": r"(?i)\b(?:may|might|could)\s+(?:possibly|potentially|perhaps)\b",
+    "zero-gain": r"(?i)\b(?:it is worth noting that|it should be noted that|note that|recall that|needless to say|of course|obviously|clearly)\b",
+}
+#: Wordy phrases and their shorter forms.
+VERBOSE = {"in order to": "to", "prior to": "before", "make use of": "use", "the majority of": "most", "with respect to": "for", "by means of": "by"}
+#: Rank of a finding's kind.
+TARGETS = ("em-dash", "tier-a", "paragraph-start")
+OPENERS = "however therefore thus hence moreover furthermore additionally notably importantly indeed similarly".split()
+
+
+def findings(q: Dialect) -> str:
+    """doc_id, sent, rule, hits of every rule that fires in a sentence."""
+    return " UNION ALL ".join(f"SELECT doc_id, CAST(sent AS BIGINT) AS sent, '{rule}' AS rule, {q.count('s', p)} AS hits FROM corpus_sentences WHERE {q.match('s', p)}" for rule, p in RULES.items())
+
+
+KIND = "CASE WHEN rule IN ('" + "', '".join(TARGETS) + "') THEN 'l0_target' ELSE 'advisory' END"
+
+QUERIES = {
+    "d11_lexical_findings": findings,
+    "d5_tier_b_cap": lambda q: f"SELECT doc_id, sent, CAST(n AS BIGINT) AS n FROM (SELECT doc_id, CAST(sent AS BIGINT) AS sent, row_number() OVER (PARTITION BY doc_id ORDER BY sent) AS n FROM corpus_sentences WHERE {q.match('s', RULES['tier-b'])}) t WHERE n > 1",
+    "d20_verbose_phrases": lambda q: " UNION ALL ".join(f"SELECT doc_id, CAST(sent AS BIGINT) AS sent, '{a}' AS phrase, '{b}' AS shorter FROM corpus_sentences WHERE contains(lower(s), '{a}')" for a, b in VERBOSE.items()),
+    "d28_opener_signposting": lambda q: f"SELECT doc_id, count(*) AS n, CAST(sum(CASE WHEN {q.match('lower(s)', '^(?:' + '|'.join(OPENERS) + r')\b')} THEN 1 ELSE 0 END) AS BIGINT) AS signposts FROM corpus_sentences GROUP BY doc_id HAVING count(*) >= 3",
+    "u1_o1_ranked_findings": lambda q: f"SELECT doc_id, sent, rule, CAST(place AS BIGINT) AS place FROM (SELECT doc_id, sent, rule, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN kind = 'l0_target' THEN 1 ELSE 2 END, hits DESC, sent, rule) AS place FROM (SELECT doc_id, sent, rule, hits, {KIND} AS kind FROM ({findings(q)}) f) k) r",
+    "o2_top_of_report": lambda q: f"SELECT doc_id, rule, total FROM (SELECT doc_id, rule, sent, count(*) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, sent, rule) AS place FROM ({findings(q)}) f) r WHERE place <= 3",
+    "a27_report_summary": lambda q: f"SELECT kind, rule, count(*) AS n, CAST(sum(hits) AS BIGINT) AS hits FROM (SELECT {KIND} AS kind, rule, hits FROM ({findings(q)}) f) k GROUP BY GROUPING SETS ((kind), (rule), ())",
+    "d10_zero_df_words": lambda q: "SELECT a.t, a.n FROM (SELECT t, count(*) AS n FROM terms GROUP BY t) a LEFT JOIN (SELECT DISTINCT lower(w) AS t FROM words WHERE source = 'src0') b ON a.t = b.t WHERE b.t IS NULL AND a.n >= 20",
+}

@@ -1 +1 @@
-
+"""plans of the text-measurement engine."""

@@ -1 +1 @@
-
+"""sources of the text-measurement engine."""
