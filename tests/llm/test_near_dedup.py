@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import types as T
 
+from textloom.llm import components as components_module
 from textloom.llm import near_dedup
 from textloom.llm.components import components
 from textloom.llm.near_dedup import one_of_each, op7
@@ -60,6 +61,7 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, k, small):
 
 def test_one_group_of_near_copies_and_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
     r = random.Random(9)
     base = [f"v{r.randint(0, 500)}" for _ in range(200)]
     rows = []
@@ -78,7 +80,9 @@ def test_one_of_each_keeps_the_first(spark):
     assert op7(frame(spark, rows).limit(0)).collect() == []
 
 
-def test_components_of_a_path_a_hub_and_a_ring(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_of_a_path_a_hub_and_a_ring(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components_module, "ONE_TASK", one_task)
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200 + i, 200 + (i + 1) % 7) for i in range(7)] + [(5, 5)]
     got = {x.node: x.component for x in components(spark.createDataFrame(links, "a bigint, b bigint").repartition(8)).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {200 + i: 200 for i in range(7)}

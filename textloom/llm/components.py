@@ -1,4 +1,4 @@
-"""Connected components by alternating large and small stars, never gathered in one place."""
+"""Connected components: each partition's own first, then alternating large and small stars, or one task where few links are left."""
 
 from __future__ import annotations
 
@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
+#: Up to so many links, some 100 MB in a task, are joined in one task; more by stars.
+ONE_TASK = 400_000
+
+
 def shrunk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's links as links to the smallest node of each of its own components."""
     root: dict[int, int] = {}
@@ -43,6 +47,9 @@ def least(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node it reaches) of every node with a link. links: a, b of bigint."""
     links = staged(links.select("a", "b").where("a <> b").mapInArrow(shrunk, "a bigint, b bigint"), "links")
+    if links.count() <= ONE_TASK:
+        links = staged(links.coalesce(1).mapInArrow(shrunk, "a bigint, b bigint"), "links")
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     before = None
     while True:
         n, total = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

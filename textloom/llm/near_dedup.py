@@ -30,7 +30,9 @@ from .words import groups, hashed_words
 
 TREES, DEPTH, BRANCH, SMALL = 4, 3, 2, 256
 #: Rounds in which components are joined by their most similar members, before what is left is compared exhaustively.
-MERGES = 2
+MERGES = 1
+#: Members of a block of a node that stays large.
+BLOCK = 2048
 SKETCH = 128
 #: Links are looked for from this estimate on: five deviations of the sketch below 0.8.
 MARGIN = 0.18
@@ -290,7 +292,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     leaf = leaves[0]
     for x in leaves[1:]:
         leaf = leaf.unionAll(x)
-    blocks = F.ceil(F.col("n") / SMALL).cast("int")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     of = F.when(F.col("comp") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
     dealt = staged(leaf.select("path", F.explode(of).alias("block"), "rep", "comp"), "leaves")
     parts = max(12, -(-source_bytes(docs) // (8 << 20)))
