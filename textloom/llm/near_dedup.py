@@ -276,7 +276,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         links = staged(links.unionAll(confirmed(base, best, shingle, percent)), "links")
         joined = components(links)
     # what is left: nodes with members of several components
-    rows = rows.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "tree", "path", F.coalesce("component", "rep").alias("comp"))
+    labelled = reps.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "sketch", "marks", F.coalesce("component", "rep").alias("comp"))
+    rows = labelled.select("rep", "comp", "sketch", tree).select("rep", "n.tree", "n.path", "comp", "sketch")
     leaves = []
     for level in range(1, DEPTH + 1):
         rows = staged(rows, "nodes")
@@ -285,22 +286,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         rows = rows.join(size, "path")
         # tokens don't part a node that one component fills by half
         done = F.lit(level == DEPTH) | (F.col("n") <= SMALL) | (2 * F.col("most") >= F.col("n"))
-        leaves.append(rows.where(done).select("path", "n", "main", "rep", "comp"))
+        leaves.append(rows.where(done).select("path", "n", "main", "rep", "comp", "sketch"))
         if level < DEPTH:
-            rows = rows.where(~done).select("rep", "tree", "path", "comp").join(reps.select("rep", "marks"), "rep")
-            rows = rows.select("rep", "comp", F.explode(F.array(*(child(F.col("path"), F.col("tree"), level, j) for j in range(BRANCH)))).alias("x")).select("rep", "x.tree", "x.path", "comp").distinct()
+            rows = rows.where(~done).select("rep", "tree", "path", "comp", "sketch").join(reps.select("rep", "marks"), "rep")
+            rows = rows.select("rep", "comp", "sketch", F.explode(F.array(*(child(F.col("path"), F.col("tree"), level, j) for j in range(BRANCH)))).alias("x")).select("rep", "x.tree", "x.path", "comp", "sketch").distinct()
     leaf = leaves[0]
     for x in leaves[1:]:
         leaf = leaf.unionAll(x)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     of = F.when(F.col("comp") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
-    dealt = staged(leaf.select("path", F.explode(of).alias("block"), "rep", "comp"), "leaves")
+    dealt = leaf.select("path", F.explode(of).alias("block"), "rep", "comp", "sketch")
     parts = max(12, -(-source_bytes(docs) // (8 << 20)))
 
     def together(rows: DataFrame, last: str) -> DataFrame:
         return rows.select("path", "block", "rep", "comp", last).repartition(parts, "path", "block").sortWithinPartitions("path", "block")
 
-    some = staged(together(dealt.join(sketch, "rep"), "sketch").mapInArrow(involved(least), "path bigint, block int, rep bigint, comp bigint").distinct(), "involved")
+    some = staged(together(dealt, "sketch").mapInArrow(involved(least), "path bigint, block int, rep bigint, comp bigint").distinct(), "involved")
     own = staged(full_sets(base, some.select("rep").distinct(), shingle), "sets")
     links = links.unionAll(together(some.join(own, "rep"), "elements").mapInArrow(linking(percent), "a bigint, b bigint"))
     joined = staged(components(links), "components")
