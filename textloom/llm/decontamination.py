@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, read, text_bytes
+from .words import groups
 
 Q, LENGTH, STRIDE, EDIT_SHARE = 8, 96, 48, 16
 CHUNK_BYTES, BLOCK_BYTES = 2 << 20, 4 << 20
@@ -165,23 +166,12 @@ def found_in(texts: list[bytes], index: Index) -> list[list[tuple[int, int, int]
     return out
 
 
-def chunked(texts: list[bytes]) -> Iterator[list[bytes]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size > CHUNK_BYTES:
-            yield part
-            part, size = [], 0
-    yield part
-
-
 def searcher(index) -> Callable:  # noqa: ANN001  a broadcast
     kind = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [f for part in chunked(text_bytes(batch.column("text"))) for f in found_in(part, index.value)]
+            found = [f for _, some in groups(list(range(batch.num_rows)), batch.column("text"), CHUNK_BYTES) for f in found_in(text_bytes(some), index.value)]
             items = [sorted({x[0] for x in f}) for f in found]
             regions = [[dict(zip(("item", "start", "stop"), x, strict=True)) for x in f] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(f) for f in found], pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(regions, kind)], ["doc_id", "n_regions", "items", "regions"])
@@ -208,20 +198,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.withColumn("contaminated", F.col("n_regions") > 0)
 
 
+def holds(index) -> Callable:  # noqa: ANN001  a broadcast
+    @F.arrow_udf("boolean")
+    def contaminated(texts: pa.Array) -> pa.Array:
+        return pa.array([bool(f) for _, some in groups(list(range(len(texts))), texts, CHUNK_BYTES) for f in found_in(text_bytes(some), index.value)], pa.bool_())
+
+    return contaminated
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text holds no benchmark passage, all their columns as they are."""
     sc = docs.sparkSession.sparkContext
     names = {c.lower(): c for c in docs.columns}
     for index in blocks(benchmark):
-        held = sc.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def contaminated(texts, held=held):  # noqa: ANN001, ANN202
-            import pandas as pd
-
-            raw = [t.encode() if isinstance(t, str) else b"" for t in texts]
-            return pd.Series([bool(f) for part in chunked(raw) for f in found_in(part, held.value)], dtype=bool)
-
+        contaminated = holds(sc.broadcast(index))
         docs = docs.where(~contaminated(F.col(f"`{names['text']}`").cast("string")))
     return docs
 

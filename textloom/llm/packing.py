@@ -34,7 +34,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 #: Words remembered by a Python worker, over all its tasks, and characters of text worked on at once.
-MOST_WORDS, PART_CHARS = 1_000_000, 4 << 20
+MOST_WORDS, PART_CHARS = 300_000, 4 << 20
 PUNCTUATED = re.compile(r"([a-z]+)([.,;:!?|%&*$#]+)")
 EMPTY = np.zeros(0, "<u4")
 

@@ -166,9 +166,9 @@ def mask(text: str | None) -> str | None:
 def redact(docs: DataFrame, column: str = "text", length: str | None = "n_chars") -> DataFrame:
     """docs with personal data in `column` replaced by kind marks, and `length`, if there, counted anew; rows without any are untouched."""
 
-    @F.pandas_udf("string")
-    def masked(texts):  # noqa: ANN001, ANN202
-        return texts.map(mask, na_action="ignore")
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array) -> pa.Array:
+        return pa.array((mask(t.as_py()) for t in texts), pa.string())
 
     out = docs.withColumn(column, masked(F.col(column)))
     if length and length in docs.columns:

@@ -170,12 +170,10 @@ def select(docs: DataFrame, labels: DataFrame) -> DataFrame:
     fitted, _ = fit(docs, labels)
     ratios = fitted.ratios
 
-    @F.pandas_udf("n long, mean double, rare double")
-    def statistics(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        n, mean, rare = ratios.value.statistics(pa.array(texts, pa.large_string(), from_pandas=True))
-        return pd.DataFrame({"n": n, "mean": mean, "rare": rare})
+    @F.arrow_udf("n long, mean double, rare double")
+    def statistics(texts: pa.Array) -> pa.Array:
+        n, mean, rare = ratios.value.statistics(texts)
+        return pa.StructArray.from_arrays([pa.array(n), pa.array(mean), pa.array(rare)], ["n", "mean", "rare"])
 
     names = {c.lower(): c for c in docs.columns}
     s = statistics(F.col(f"`{names['text']}`").cast("string"))
