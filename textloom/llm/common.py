@@ -57,8 +57,15 @@ def source_bytes(df: DataFrame) -> int:
     return total if total < 1 << 55 else 0
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows and bytes, so a Python worker holds little of long texts at once. A session setting; results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id and text as bigint and string, and the named columns; other columns, whatever their names, are left."""
+    bound_batches(df.sparkSession)
     names = {c.lower(): c for c in df.columns}
     return df.select(F.col(f"`{names['doc_id']}`").cast("bigint").alias("doc_id"), F.col(f"`{names['text']}`").cast("string").alias("text"), *(F.col(f"`{names[c]}`").alias(c) for c in more))
 

@@ -170,15 +170,15 @@ def select(docs: DataFrame, labels: DataFrame) -> DataFrame:
     fitted, _ = fit(docs, labels)
     ratios = fitted.ratios
 
-    @F.arrow_udf("n long, mean double, rare double")
-    def statistics(texts: pa.Array) -> pa.Array:
+    mean_cut, rare_cut = fitted.mean_cut, fitted.rare_cut
+
+    @F.arrow_udf("double")
+    def weight(texts: pa.Array) -> pa.Array:
         n, mean, rare = ratios.value.statistics(texts)
-        return pa.StructArray.from_arrays([pa.array(n), pa.array(mean), pa.array(rare)], ["n", "mean", "rare"])
+        return pa.array(np.where(n == 0, NOTHING, np.minimum(mean / mean_cut, rare / rare_cut)), pa.float64())
 
     names = {c.lower(): c for c in docs.columns}
-    s = statistics(F.col(f"`{names['text']}`").cast("string"))
-    weight = fitted.weight(s["n"], s["mean"], s["rare"])
-    return docs.where(fitted.key(F.col(f"`{names['doc_id']}`").cast("bigint"), weight) >= fitted.least_key)
+    return docs.where(fitted.key(F.col(f"`{names['doc_id']}`").cast("bigint"), weight(F.col(f"`{names['text']}`").cast("string"))) >= fitted.least_key)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
