@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mix, source_bytes, staged
+from .common import documents, mix, source_bytes, staged, trim
 from .components import components
 from .words import groups, hashed_words
 
@@ -94,6 +94,7 @@ def sketcher(shingle: int) -> Callable:
                         [pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array([s.tobytes() for s in sketch], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * used, pa.int32()), pa.array(marks.ravel()))],
                         ["doc_id", "n_shingles", "digest", "sketch", "marks"],
                     )
+        trim()
 
     return run
 
@@ -133,6 +134,7 @@ def by_node(group: Callable, out: list[str]) -> Callable:
                     now, held = (node, block), []
                 held.append(row)
         yield from close()
+        trim()
 
     return run
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, trim
 
 END = 1
 
@@ -34,7 +34,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 #: Words remembered by a Python worker, over all its tasks, and characters of text worked on at once.
-MOST_WORDS, PART_CHARS = 300_000, 4 << 20
+MOST_WORDS, PART_CHARS = 200_000, 4 << 20
 PUNCTUATED = re.compile(r"([a-z]+)([.,;:!?|%&*$#]+)")
 EMPTY = np.zeros(0, "<u4")
 
@@ -169,6 +169,7 @@ def packed(path: str, full: int, with_ids: bool = False) -> Callable:
                 columns.append(pa.array(ids_of, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        trim()
 
     return run
 

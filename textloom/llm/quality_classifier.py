@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mix, read, staged
+from .common import documents, mix, read, staged, trim
 from .tree_sum import tree_sum
 from .words import groups, hashed_words
 
@@ -51,6 +51,7 @@ def counter(target) -> Callable:  # noqa: ANN001  a broadcast set of ids
                 mine = np.fromiter((i in target.value for i in ids), bool, len(ids))[doc]
                 if mine.any():
                     total[BUCKETS:] += np.bincount(bucket[mine], minlength=BUCKETS)
+        trim()
         return total
 
     return run
@@ -91,6 +92,7 @@ def measure(ratios) -> Callable:  # noqa: ANN001  a broadcast
         for batch in batches:
             n, mean, rare = ratios.value.statistics(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(mean), pa.array(rare)], ["doc_id", "n_grams", "mean_ratio", "rare_ratio"])
+        trim()
 
     return run
 
