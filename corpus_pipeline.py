@@ -32,7 +32,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents as sequences, with their token ids."""
-    return packing.pack(docs, with_ids=True)
+    return packing.pack(docs, with_ids=True, most=200_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -34,7 +34,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 #: Words remembered by a Python worker, over all its tasks, and characters of text worked on at once.
-MOST_WORDS, PART_CHARS = 200_000, 4 << 20
+MOST_WORDS, PART_CHARS = 1_000_000, 4 << 20
 PUNCTUATED = re.compile(r"([a-z]+)([.,;:!?|%&*$#]+)")
 EMPTY = np.zeros(0, "<u4")
 
@@ -47,10 +47,10 @@ class Words:
     characters go through the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
 
     def whole(self, words: list[str]) -> Iterator[bytes]:
         for i in range(0, len(words), 10_000):
@@ -75,7 +75,7 @@ class Words:
     def learn(self, words: list[str]) -> None:
         known = self.known
         new = [w for w in words if w not in known]
-        if len(known) + 2 * len(new) > MOST_WORDS:
+        if len(known) + 2 * len(new) > self.most:
             known.clear()
             new = words
         joined = [(w, *m.groups()) for w in new if (m := PUNCTUATED.fullmatch(w))]
@@ -112,10 +112,10 @@ class Words:
 
 
 @cache
-def words_of(path: str) -> Words:
+def words_of(path: str, most: int) -> Words:
     """One for each Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Words(path)
+    return Words(path, most)
 
 
 def parts(ids: list, texts: pa.Array) -> Iterator[tuple[list, list[str]]]:
@@ -146,9 +146,9 @@ def pieces(n: int, full: int) -> list[tuple[int, int]]:
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, bucket int"
 
 
-def packed(path: str, full: int, with_ids: bool = False) -> Callable:
+def packed(path: str, full: int, with_ids: bool = False, most: int = MOST_WORDS) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(path)
+        words = words_of(path, most)
         for batch in batches:
             docs: list = []
             starts, lengths, sums, totals, ids_of = [], [], [], [], []
@@ -174,9 +174,9 @@ def packed(path: str, full: int, with_ids: bool = False) -> Callable:
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, full: int = 2048, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, full: int = 2048, with_ids: bool = False, most: int = MOST_WORDS) -> DataFrame:
     """One row a piece; with_ids also its token ids."""
-    out = documents(docs).mapInArrow(packed(path or tokenizer_path(), full, with_ids), PIECES + (", ids array<int>" if with_ids else ""))
+    out = documents(docs).mapInArrow(packed(path or tokenizer_path(), full, with_ids, most), PIECES + (", ids array<int>" if with_ids else ""))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), "bucket", *(["ids"] if with_ids else []))
 
 
