@@ -14,7 +14,6 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, trim
+from .common import documents, kept, trim
 
 END = 1
 
@@ -111,11 +110,10 @@ class Words:
                 yield np.concatenate([ids[at[i] : at[i + 1]], end])
 
 
-@cache
 def words_of(path: str, most: int) -> Words:
     """One for each Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Words(path, most)
+    return kept(("words", path, most), lambda: Words(path, most))
 
 
 def parts(ids: list, texts: pa.Array) -> Iterator[tuple[list, list[str]]]:

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mix, read, staged, trim
+from .common import documents, mix, read, release, staged, trim
 from .tree_sum import tree_sum
 from .words import groups, hashed_words
 
 BUCKETS, FIT, CUT, SHARPNESS = 1 << 20, 20_000, 0.002, 200.0
 SMOOTH_MEAN, SMOOTH_RARE = 10.0, 1.0
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +43,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def counter(target) -> Callable:  # noqa: ANN001  a broadcast set of ids
     def run(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
+        release()
         total = np.zeros(2 * BUCKETS)
         for batch in batches:
             for ids, texts in groups(batch.column("doc_id").to_pylist(), batch.column("text"), PART_BYTES):
@@ -89,6 +90,7 @@ STATISTICS = "doc_id bigint, n_grams bigint, mean_ratio double, rare_ratio doubl
 
 def measure(ratios) -> Callable:  # noqa: ANN001  a broadcast
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             n, mean, rare = ratios.value.statistics(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(mean), pa.array(rare)], ["doc_id", "n_grams", "mean_ratio", "rare_ratio"])
