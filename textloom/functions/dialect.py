@@ -104,6 +104,9 @@ class Spark(Dialect):
     def vec(self, dim: str, value: str) -> str:
         return f"SELECT vec_id, label, {dim}, CAST({value} AS DOUBLE) AS {value} FROM embeddings LATERAL VIEW posexplode(embedding) x AS {dim}, {value}"
 
+    def dot(self, a: str, b: str) -> str:
+        return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (s, x) -> s + x)"
+
     def md5(self, x: str) -> str:
         return f"md5(CAST({x} AS STRING))"
 
@@ -142,6 +145,9 @@ class Duck(Dialect):
     def vec(self, dim: str, value: str) -> str:
         return f"SELECT vec_id, label, unnest(range(len(embedding))) AS {dim}, CAST(unnest(embedding) AS DOUBLE) AS {value} FROM embeddings"
 
+    def dot(self, a: str, b: str) -> str:
+        return f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+
     def md5(self, x: str) -> str:
         return f"md5(CAST({x} AS VARCHAR))"
 

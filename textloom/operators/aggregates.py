@@ -9,7 +9,7 @@ LABELLED = "SELECT d.doc_id, d.source, d.lang, d.n_chars, l.quality, l.toxic FRO
 QUERIES = {
     "a1_sentence_stats": lambda q: "SELECT source, count(*) AS n, round(avg(n), 6) AS mean, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY n), 6) AS median, round(stddev_pop(n), 6) AS sd, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY n), 6) AS p25, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY n), 6) AS p95 FROM sentence_lengths GROUP BY source",
     "a2_dash_rate": lambda q: f"SELECT source, round(1000.0 * sum({q.count('text', '—|---')}) / sum({q.count('text', r'[^\x20\x09-\x0D]+')}), 6) AS per_1000 FROM corpus GROUP BY source",
-    "a3_opening_words": lambda q: "SELECT w, n FROM (SELECT w, n, row_number() OVER (ORDER BY n DESC, w) AS place FROM (SELECT w, count(*) AS n FROM sentence_words WHERE pos = 0 GROUP BY w) c) r WHERE place <= 30",
+    "a3_opening_words": lambda q: "SELECT w, count(*) AS n FROM sentence_words WHERE pos = 0 GROUP BY w ORDER BY n DESC, w LIMIT 30",
     "a4_lexicon": lambda q: "SELECT lower(w) AS t, count(*) AS n FROM words GROUP BY lower(w)",
     "a5_document_frequency": lambda q: "SELECT t, n FROM df",
     "a6_pair_bank": lambda q: "SELECT p.a, p.b, p.n FROM (SELECT a, b, count(DISTINCT doc_id) AS n FROM pairs GROUP BY a, b) p JOIN df x ON p.a = x.t JOIN df y ON p.b = y.t WHERE x.n >= 5 AND y.n >= 5",
@@ -26,7 +26,7 @@ QUERIES = {
     "a26_rollup": lambda q: "SELECT source, lang, count(*) AS n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 4) AS sd FROM documents GROUP BY ROLLUP (source, lang)",
     "a28_binary_metrics": lambda q: f"SELECT tp, fp, fn, tn, round(tp / nullif(tp + fn, 0), 6) AS tpr, round(fp / nullif(fp + tn, 0), 6) AS fpr, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM (SELECT CAST(sum(CASE WHEN n_chars > 1500 AND quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN n_chars > 1500 AND quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN n_chars <= 1500 AND quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN n_chars <= 1500 AND quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn FROM ({LABELLED}) l) c",
     "a29_breakdown": lambda q: f"SELECT source, lang, quality, count(*) AS n, round(avg(toxic), 6) AS rate FROM ({LABELLED}) l GROUP BY GROUPING SETS ((source), (lang), (quality), (lang, quality), ())",
-    "a30_w14_rank_auc": lambda q: f"SELECT round((sum(CASE WHEN quality = 1 THEN mid ELSE 0 END) - pos * (pos + 1) / 2.0) / (pos * (n - pos)), 6) AS auc FROM (SELECT quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS mid, sum(quality) OVER () AS pos, count(*) OVER () AS n FROM ({LABELLED}) l) r GROUP BY pos, n",
+    "a30_w14_rank_auc": lambda q: f"SELECT round((sum(p * mid) - max(pos) * (max(pos) + 1) / 2.0) / (max(pos) * (max(n) - max(pos))), 6) AS auc FROM (SELECT p, CAST(sum(c) OVER (ORDER BY n_chars ROWS UNBOUNDED PRECEDING) AS DOUBLE) - c + (c + 1) / 2.0 AS mid, CAST(sum(p) OVER () AS DOUBLE) AS pos, CAST(sum(c) OVER () AS DOUBLE) AS n FROM (SELECT n_chars, CAST(count(*) AS DOUBLE) AS c, CAST(sum(quality) AS DOUBLE) AS p FROM ({LABELLED}) l GROUP BY n_chars) g) r",
     "a33_population_rates": lambda q: f"SELECT source, count(*) AS n, CASE WHEN count(*) >= 20 THEN round(avg(toxic), 6) END AS rate, CASE WHEN count(*) >= 20 THEN 'measured' ELSE 'unmeasured' END AS status FROM ({LABELLED}) l GROUP BY source",
     "a35_j13_leakage": lambda q: "SELECT count(*) AS n, CAST(sum(greatest(coalesce(x.n, 0) - coalesce(y.n, 0), 0)) AS BIGINT) AS more, CAST(sum(CASE WHEN y.t IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS only_left, CAST(sum(CASE WHEN x.t IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS only_right FROM (SELECT t, count(*) AS n FROM terms WHERE source IN ('src0', 'src1') GROUP BY t) x FULL OUTER JOIN (SELECT t, count(*) AS n FROM terms WHERE source IN ('src2', 'src3') GROUP BY t) y ON x.t = y.t",
     "a37_kappa": lambda q: f"SELECT round((po - pe) / nullif(1 - pe, 0), 6) AS kappa FROM (SELECT avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS po, avg(CAST(a AS DOUBLE)) * avg(CAST(b AS DOUBLE)) + (1 - avg(CAST(a AS DOUBLE))) * (1 - avg(CAST(b AS DOUBLE))) AS pe FROM (SELECT quality AS a, CASE WHEN n_chars > 800 THEN 1 ELSE 0 END AS b FROM ({LABELLED}) l) p) k",

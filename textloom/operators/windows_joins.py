@@ -5,6 +5,10 @@ from __future__ import annotations
 SPANS = "SELECT DISTINCT doc_id, CAST(line AS BIGINT) AS a, CAST(line AS BIGINT) + 1 AS b FROM line_features WHERE n_digits > 0"
 LINE_WORDS = "SELECT DISTINCT l.doc_id, l.line, w.w FROM (SELECT doc_id, line FROM line_features WHERE n_words >= 10) l JOIN (SELECT doc_id, sent AS line, w FROM sentence_words) w ON l.doc_id = w.doc_id AND l.line = w.line"
 REFERENCE = "SELECT source, count(*) AS n_ref, " + ", ".join(f"percentile_disc({i / 20}) WITHIN GROUP (ORDER BY n) AS q{i}" for i in range(0, 21)) + " FROM (SELECT source, CAST(n AS DOUBLE) AS n FROM sentence_lengths) s GROUP BY source HAVING count(*) >= 30"
+#: Ids in blocks, so a running count needs one row a block in one place.
+BLOCK = "CAST(floor(doc_id / 4096.0) AS BIGINT)"
+BAGS = "SELECT doc_id, lower(w) AS t, count(*) AS n FROM words GROUP BY doc_id, lower(w)"
+LENGTHS = "SELECT d.doc_id, d.n_chars FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
 
 QUERIES = {
     "w2_longest_run": lambda q: "SELECT doc_id, max(c) AS longest FROM (SELECT doc_id, block, count(*) AS c FROM (SELECT doc_id, n, sent - row_number() OVER (PARTITION BY doc_id ORDER BY sent) AS block FROM sentence_lengths WHERE n <= 8) r GROUP BY doc_id, block) b GROUP BY doc_id",
@@ -15,7 +19,7 @@ QUERIES = {
     "w10_section_ends": lambda q: "SELECT doc_id, CAST(line AS BIGINT) AS first_line, CAST(lead(line) OVER (PARTITION BY doc_id ORDER BY line) - 1 AS BIGINT) AS last_line FROM line_features WHERE n_words <= 3 AND chars > 0",
     "w11_positions": lambda q: "SELECT doc_id, CAST(sent AS BIGINT) AS sent, CASE WHEN k = 1 THEN 'first' WHEN k = c THEN 'last' ELSE 'middle' END AS place FROM (SELECT doc_id, sent, row_number() OVER (PARTITION BY doc_id ORDER BY sent) AS k, count(*) OVER (PARTITION BY doc_id) AS c FROM sentence_lengths) s",
     "w13_triage": lambda q: "SELECT doc_id, CAST(sent AS BIGINT) AS sent, n FROM (SELECT doc_id, sent, n, row_number() OVER (PARTITION BY doc_id ORDER BY n, sent) AS k FROM sentence_lengths) s WHERE k <= 3",
-    "w15_systematic_sample": lambda q: "SELECT doc_id, CAST(k AS BIGINT) AS k FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM documents) d WHERE k = CAST(floor(CAST(floor(k * 50.0 / n) AS BIGINT) * n / 50.0) AS BIGINT)",
+    "w15_systematic_sample": lambda q: f"SELECT doc_id, k FROM (SELECT d.doc_id, b.before_ + row_number() OVER (PARTITION BY d.block ORDER BY d.doc_id) - 1 AS k, t.n FROM (SELECT doc_id, {BLOCK} AS block FROM documents) d JOIN (SELECT block, CAST(sum(c) OVER (ORDER BY block ROWS UNBOUNDED PRECEDING) AS BIGINT) - c AS before_ FROM (SELECT {BLOCK} AS block, count(*) AS c FROM documents GROUP BY 1) g) b ON d.block = b.block CROSS JOIN (SELECT count(*) AS n FROM documents) t) s WHERE k = CAST(floor(CAST(floor(k * 50.0 / n) AS BIGINT) * n / 50.0) AS BIGINT)",
     "w16_spread_sample": lambda q: f"SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY {q.md5('concat(20260713, doc_id)')}) AS k FROM documents) d WHERE k <= 4",
     "w17_last_definition": lambda q: "SELECT lower(w) AS t, max(pos) AS last_pos FROM (SELECT w, CAST(pos AS BIGINT) AS pos FROM words) x GROUP BY lower(w)",
     "j1_term_frequency": lambda q: "SELECT c.doc_id, count(*) AS n_terms, CAST(sum(CASE WHEN coalesce(d.n, 0) < 3 THEN 1 ELSE 0 END) AS BIGINT) AS rare FROM (SELECT DISTINCT doc_id, lower(w) AS t FROM words) c LEFT JOIN df d ON c.t = d.t GROUP BY c.doc_id",
@@ -26,13 +30,13 @@ QUERIES = {
     "j8_restatement": lambda q: "SELECT doc_id, sent, earlier, shared FROM (SELECT doc_id, sent, earlier, shared, row_number() OVER (PARTITION BY doc_id, sent ORDER BY shared DESC, earlier) AS k FROM (SELECT x.doc_id, CAST(x.sent AS BIGINT) AS sent, CAST(y.sent AS BIGINT) AS earlier, count(*) AS shared FROM (SELECT DISTINCT doc_id, sent, w FROM sentence_words WHERE length(w) >= 7) x JOIN (SELECT DISTINCT doc_id, sent, w FROM sentence_words WHERE length(w) >= 7) y ON x.doc_id = y.doc_id AND x.w = y.w AND y.sent < x.sent GROUP BY x.doc_id, x.sent, y.sent HAVING count(*) >= 4) c) r WHERE k = 1",
     "j11_anti_join": lambda q: "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "j12_registry": lambda q: "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unmeasured' WHEN l.quality = 0 THEN 'integrity_blocker' ELSE 'measured' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
-    "j18_bag_difference": lambda q: "SELECT lower(w) AS t FROM words WHERE doc_id = 1 EXCEPT ALL SELECT lower(w) AS t FROM words WHERE doc_id = 2",
-    "j19_top_k": lambda q: f"SELECT vec_id, round(score, 4) AS score FROM (SELECT e.vec_id, sum(e.v * c.v) / sqrt(sum(e.v * e.v)) / sqrt(sum(c.v * c.v)) AS score FROM ({q.vec('dim', 'v')}) e JOIN (SELECT dim AS d, v FROM ({q.vec('dim', 'v')}) z WHERE vec_id = 0) c ON e.dim = c.d GROUP BY e.vec_id) s ORDER BY score DESC, vec_id LIMIT 10",
+    "j18_bag_difference": lambda q: f"SELECT a.doc_id, a.t, a.n - coalesce(b.n, 0) AS more FROM ({BAGS}) a LEFT JOIN (SELECT doc_id + 1 AS doc_id, t, n FROM ({BAGS}) x) b ON a.doc_id = b.doc_id AND a.t = b.t WHERE a.n > coalesce(b.n, 0)",
+    "j19_top_k": lambda q: f"SELECT query_id, vec_id, score FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM (SELECT a.vec_id AS query_id, e.vec_id, round({q.dot('a.embedding', 'e.embedding')} / sqrt({q.dot('a.embedding', 'a.embedding')} * {q.dot('e.embedding', 'e.embedding')}), 4) AS score FROM embeddings e CROSS JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) a) s) r WHERE k <= 10",
     "o6_top_words": lambda q: "SELECT t, n FROM (SELECT lower(w) AS t, count(*) AS n FROM words GROUP BY lower(w)) c ORDER BY n DESC, t LIMIT 50",
     "o7_lead_feature": lambda q: "SELECT doc_id, CASE WHEN c >= g AND c >= w THEN 'commas' WHEN g >= w THEN 'digits' ELSE 'words' END AS lead FROM (SELECT doc_id, sum(n_commas) * 10 AS c, sum(n_digits) * 10 AS g, sum(n_words) AS w FROM line_features GROUP BY doc_id) f",
     "u2_shared_terms": lambda q: "SELECT t FROM terms WHERE source = 'src0' INTERSECT SELECT t FROM terms WHERE source = 'src1'",
     "u3_own_terms": lambda q: "SELECT t FROM terms WHERE source = 'src0' EXCEPT SELECT t FROM terms WHERE source <> 'src0'",
     "u4_first_of_each": lambda q: "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) d WHERE k = 1",
     "x5_cosine_neighbours": lambda q: f"SELECT a.vec_id, round(sum(a.v * b.v) / sqrt(sum(a.v * a.v)) / sqrt(sum(b.v * b.v)), 4) AS cosine FROM ({q.vec('dim', 'v')}) a JOIN (SELECT vec_id - 1 AS p, dim AS d, v FROM ({q.vec('dim', 'v')}) z) b ON a.vec_id = b.p AND a.dim = b.d GROUP BY a.vec_id",
-    "x10_conformal_p": lambda q: "SELECT doc_id, round((1.0 + (SELECT count(*) FROM labels) - rank() OVER (ORDER BY n_chars) + 1) / (1.0 + (SELECT count(*) FROM labels)), 6) AS p FROM (SELECT d.doc_id, d.n_chars FROM documents d JOIN labels l ON d.doc_id = l.doc_id) s",
+    "x10_conformal_p": lambda q: f"SELECT s.doc_id, round((1.0 + t.total - r.below) / (1.0 + t.total), 6) AS p FROM ({LENGTHS}) s JOIN (SELECT n_chars, CAST(sum(c) OVER (ORDER BY n_chars ROWS UNBOUNDED PRECEDING) AS BIGINT) - c AS below FROM (SELECT n_chars, count(*) AS c FROM ({LENGTHS}) x GROUP BY n_chars) g) r ON s.n_chars IS NOT DISTINCT FROM r.n_chars CROSS JOIN (SELECT count(*) AS total FROM labels) t",
 }
