@@ -5,11 +5,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
 from textloom.llm import lm
 from textloom.llm.gru import Model
+from textloom.llm.words import hashed_words
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("h", T.StringType()), T.StructField("rare", T.LongType())])
 
@@ -66,5 +68,37 @@ def test_probabilities_sum_to_one_and_gradients_are_right():
     assert m.score(docs).sum() > before + 3
 
 
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def trained(monkeypatch, texts, held=1 << 30):
+    """What the trainer hands to the model, the model's weights before and the blocks that come out."""
+    words = [w.split() for w in texts.values()]
+    _, _, hashes = hashed_words([" ".join(sorted({x for w in words for x in w}))])
+    model = Model(np.ones(2 + len(hashes)), hidden=4, width=3, size=8)
+    handed, train = [], Model.train
+    monkeypatch.setattr(lm, "HELD", held, raising=False)
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    monkeypatch.setattr(Model, "train", lambda self, docs, **k: (handed.append(docs), train(self, docs, **k))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts], pa.int64()), pa.array([*texts.values()])], ["doc_id", "text"])
+    blocks = [x for b in lm.trainer(Shared(lm.Table(hashes, np.ones(len(hashes), np.int64), hashes)), Shared(model))([batch]) for x in b.to_pylist()]
+    return handed, model, blocks
+
+
+def test_every_training_token_is_trained_on(monkeypatch):
+    r = random.Random(3)
+    texts = {i: " ".join(f"w{r.randint(0, 9)}" for _ in range(r.choice([3, 90, 300, 1500]))) for i in range(20)}
+    want = sum(len(t.split()) + 1 for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10)
+    handed, _, blocks = trained(monkeypatch, texts)
+    assert sum(len(d) for docs in handed for d in docs) == want and blocks[0]["w"] == want
+
+
+def test_few_tokens_move_the_weights(monkeypatch):
+    _, model, blocks = trained(monkeypatch, {1: "w1 w2 w1 w2"})
+    assert blocks and (np.frombuffer(blocks[0]["vec"]) / blocks[0]["w"] != model.flat()[: lm.BLOCK]).any()
+
+
 def test_empty_table(spark):
     assert lm.op3(spark.createDataFrame([], SCHEMA)).collect() == []
