@@ -95,6 +95,14 @@ def test_every_training_token_is_trained_on(monkeypatch):
     assert sum(len(d) for docs in handed for d in docs) == want and blocks[0]["w"] == want
 
 
+def test_the_state_is_carried_over_whole_documents(monkeypatch):
+    texts = {i: " ".join(f"w{(i + j) % 7}" for j in range(n)) for i, n in enumerate([0, 1, 127, 128, 129, 700])}
+    handed, _, _ = trained(monkeypatch, texts)
+    docs = [d for some in handed for d in some]
+    assert sorted(map(len, docs)) == sorted(len(t.split()) + 1 for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10)
+    assert all(d[-1] == 0 and (d[:-1] != 0).all() for d in docs)
+
+
 def test_few_tokens_move_the_weights(monkeypatch):
     _, model, blocks = trained(monkeypatch, {1: "w1 w2 w1 w2"})
     assert blocks and (np.frombuffer(blocks[0]["vec"]) / blocks[0]["w"] != model.flat()[: lm.BLOCK]).any()

@@ -159,7 +159,7 @@ class Model:
 
 
 def in_lanes(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, ...]:
-    """Inputs, targets, document (-1: none) and starts, by step and lane, and the lanes' lengths, longest first. Long documents go first, each to the shortest lane."""
+    """Inputs, targets, document (-1: none) and starts, by step and lane, and the lanes' lengths, longest first. Long documents are dealt first, each to the shortest lane, and lie there in the order they came in."""
     heap = [(0, i) for i in range(max(1, min(lanes, len(docs))))]
     own: list[list[int]] = [[] for _ in heap]
     for d in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
@@ -174,7 +174,7 @@ def in_lanes(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, ...]:
     of, fresh = np.full(shape, -1, np.int32), np.zeros(shape, bool)
     for lane, i in enumerate(order):
         at = 0
-        for d in own[i]:
+        for d in sorted(own[i]):
             n = len(docs[d])
             target[at : at + n, lane] = docs[d]
             ids[at, lane] = END

@@ -3,7 +3,7 @@
 Word counts come from every training document (crc32 of the id mod 10 is not 0). The recurrent model's vocabulary is the
 4094 most frequent words, the end and an unknown word; an unknown word's probability is the model's for "unknown" times
 the smoothed share of that word among the unknown ones, so the score is a probability of the text itself. Each partition
-trains the model on every token of its training documents; the partitions' weights are averaged in a tree.
+trains the model on its whole training documents, with the state carried from window to window; the partitions' weights are averaged in a tree.
 
 Counts of the 2^20 most frequent words are broadcast (a fixed bound); the rest are joined. Null text counts as empty (one
 token, the end); a null id counts as the empty string for the held-out rule. Repeated rows each count and get their row.
@@ -27,7 +27,6 @@ from .gru import END, UNK, Model
 from .words import groups, hashed_words
 
 VOCABULARY, FREQUENT = 4096, 1 << 20
-SEGMENT = 128
 #: Tokens that a task gathers before it trains on them, so that lanes come out about equally long.
 HELD = 1_600_000
 PART_BYTES = 12 << 20
@@ -97,9 +96,8 @@ def trainer(table, model) -> Callable:  # noqa: ANN001  broadcasts
                 sizes, codes, hashes = hashed_words(texts)
                 for out, doc in zip(held_out(ids), with_end(sizes, table.value.of(hashes)[1][codes]), strict=True):
                     if not out:
-                        for a in range(0, len(doc), SEGMENT):
-                            held.append(doc[a : a + SEGMENT])
-                            tokens += len(held[-1])
+                        held.append(doc)
+                        tokens += len(doc)
                 if sum(map(len, held)) > HELD:
                     state, held = m.train(held, state=state), []
         if held:
