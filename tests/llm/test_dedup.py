@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
+from textloom.llm import runs
 from textloom.llm.substring_dedup import op5
 from textloom.llm.suffix_dedup import op10
 
@@ -70,6 +72,29 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_windows_behind_the_last_place_meet_their_equals(monkeypatch):
+    monkeypatch.setattr(runs, "PLACE_BITS", 8, raising=False)
+    r = np.random.default_rng(5)
+    tokens = runs.mix(r.integers(0, 50, 2000).astype(np.uint64))
+    grams = runs.Rolled(tokens).every(4)
+    low = runs.minimisers(grams, 47)
+    assert [int(x) for x in low] == [i + min(range(47), key=lambda j: (int(grams[i + j]) >> 8, j)) for i in range(len(grams) - 46)]
+    passage = tokens[:80]
+    far = np.concatenate([passage, tokens[100:1500], passage])
+    start, count, _, bucket, _ = runs.runs_of(far, np.array([80, 1480, 1560]), 50, 4, 1 << 40)
+    of = np.repeat(bucket, count)[np.argsort(np.concatenate([np.arange(a, a + n) for a, n in zip(start, count, strict=True)]))]
+    assert (of[:31] == of[-31:]).all()
+
+
+def test_a_chunk_of_more_than_2_24_tokens():
+    r = np.random.default_rng(6)
+    tokens = r.integers(0, 1 << 63, (1 << 24) + 500).astype(np.uint64)
+    tokens[-100:] = tokens[:100]
+    start, count, _, bucket, _ = runs.runs_of(tokens, np.array([100, len(tokens) - 100, len(tokens)]), 50, 16, 1 << 40)
+    assert sum(count[start < 100]) == sum(count[start >= len(tokens) - 100]) == 51
+    assert bucket[start < 100].tolist() == bucket[start >= len(tokens) - 100].tolist()
+
+
 @pytest.mark.parametrize("op", [op5, op10])
 def test_repeated_ids_and_empty_tables(spark, op):
     long = " ".join(f"word{i}" for i in range(80))

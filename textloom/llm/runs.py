@@ -63,6 +63,22 @@ def sliding_min(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(cur[:n], cur[width - s : width - s + n]) if s < width else cur[:n]
 
 
+#: Low bits of a key in which an m-gram's place is kept, under its hash.
+PLACE_BITS = 24
+
+
+def minimisers(grams: np.ndarray, width: int) -> np.ndarray:
+    """The place of the smallest of each `width` m-grams, the first of equal ones; in slices that the place bits can count."""
+    out = np.empty(max(0, len(grams) - width + 1), np.int64)
+    place = np.uint64((1 << PLACE_BITS) - 1)
+    room = (1 << PLACE_BITS) - width + 1
+    for a in range(0, len(out), room):
+        part = grams[a : a + room + width - 1]
+        out[a : a + room] = sliding_min((part & ~place) | np.arange(len(part), dtype=np.uint64), width) & place
+        out[a : a + room] += a
+    return out
+
+
 def runs_of(tokens: np.ndarray, ends: np.ndarray, k: int, m: int, buckets: int) -> tuple[np.ndarray, ...]:
     """start, windows, document, bucket and content hash of each run in documents that lie end to end."""
     n = len(tokens)
@@ -71,8 +87,7 @@ def runs_of(tokens: np.ndarray, ends: np.ndarray, k: int, m: int, buckets: int)
         return none, none, none, none, none.astype(np.uint64)
     rolled = Rolled(tokens)
     grams = rolled.every(m)
-    at = np.arange(len(grams), dtype=np.uint64)
-    low = sliding_min((grams & np.uint64(0xFFFFFFFFFF000000)) | at, k - m + 1) & np.uint64(0xFFFFFF)
+    low = minimisers(grams, k - m + 1)
     lens = np.diff(ends, prepend=0)
     left = np.repeat(ends, lens)[: n - k + 1] - np.arange(n - k + 1)
     ok = left >= k
@@ -82,7 +97,7 @@ def runs_of(tokens: np.ndarray, ends: np.ndarray, k: int, m: int, buckets: int)
     last[:-1] &= ~(ok[1:] & (low[1:] == low[:-1]))
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     doc = np.searchsorted(ends, start, side="right")
-    bucket = (grams[low[start].astype(np.int64)] % np.uint64(buckets)).astype(np.int64)
+    bucket = (grams[low[start]] % np.uint64(buckets)).astype(np.int64)
     stop = end + k - 1
     content = mix(rolled.of(start, stop) + (stop - start).astype(np.uint64))
     return start, end - start, doc, bucket, content
