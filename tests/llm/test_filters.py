@@ -93,6 +93,27 @@ def test_classifier_on_held_out_documents(spark):
     assert kept == {d for d, x in got.items() if x.selected}
 
 
+def test_toxic_documents_are_caught_in_every_language(spark):
+    r = random.Random(8)
+    marks = {"fr": "réeux", "de": "achlich", "es": "ciónmal"}
+    rows, labels, toxic = [], [], {}
+    for i in range(3000):
+        lang = ["en", *marks][i % 4]
+        w = [f"{lang}{min(r.randint(0, 400), r.randint(0, 400))}" for _ in range(r.randint(15, 120))]
+        toxic[i] = r.random() < 0.1
+        if toxic[i]:
+            for _ in range(5):
+                w.insert(r.randrange(len(w)), r.choice(["slur", "insult"]) if lang == "en" else marks[lang] + "".join(r.choice("abcdeinorst") for _ in range(6)))
+        rows.append((i, " ".join(w)))
+        if i // 4 % 2:
+            labels.append((i, 1, int(toxic[i])))
+    kept = {x.doc_id for x in qc.classify(frame(spark, rows), spark.createDataFrame(labels, LABELS)).collect() if x.selected}
+    rest = [i for i in toxic if not i // 4 % 2]
+    recall = {lang: sum(i not in kept for i in rest if toxic[i] and i % 4 == n) / sum(toxic[i] and i % 4 == n for i in rest) for n, lang in enumerate(["en", *marks])}
+    assert min(recall.values()) > 0.95, recall
+    assert sum(i in kept for i in rest if not toxic[i]) > 0.985 * sum(not toxic[i] for i in rest)
+
+
 def test_classifier_without_labels_or_documents(spark):
     none = spark.createDataFrame([], LABELS)
     got = qc.classify(frame(spark, [(1, "a b c"), (2, None), (None, "d e f")]), none).collect()

@@ -25,6 +25,24 @@ def hashed_words(texts: pa.Array | list[str], lower: bool = True) -> tuple[np.nd
     return sizes, codes, hashes
 
 
+def signs(texts: pa.Array, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, 64-bit hash) of each different word of a text, and of each different beginning of `prefix` characters."""
+    plain = pc.fill_null(texts.cast(pa.large_string()), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy()
+    doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    starts = pc.utf8_slice_codeunits(coded.dictionary, 0, prefix).cast(pa.large_binary()).to_pylist()
+    word = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
+    start = np.fromiter((xxhash.xxh64_intdigest(x + b" ") for x in starts), np.uint64, len(starts))
+    full = np.fromiter(map(len, names), np.int64, len(names)) > 0
+    long = pc.utf8_length(coded.dictionary).to_numpy() >= prefix
+    a, b = full[codes], long[codes]
+    pairs = np.unique(np.stack([np.concatenate([doc[a], doc[b]]).astype(np.uint64), np.concatenate([word[codes[a]], start[codes[b]]])], 1), axis=0) if len(codes) else np.zeros((0, 2), np.uint64)
+    return pairs[:, 0].astype(np.int64), pairs[:, 1]
+
+
 def groups(rows: list, texts: pa.Array, chars: int):
     """Rows and their texts in groups of about so many bytes."""
     lens = np.maximum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 1)
