@@ -39,8 +39,12 @@ def signs(texts: pa.Array, prefix: int) -> tuple[np.ndarray, np.ndarray]:
     full = np.fromiter(map(len, names), np.int64, len(names)) > 0
     long = pc.utf8_length(coded.dictionary).to_numpy() >= prefix
     a, b = full[codes], long[codes]
-    pairs = np.unique(np.stack([np.concatenate([doc[a], doc[b]]).astype(np.uint64), np.concatenate([word[codes[a]], start[codes[b]]])], 1), axis=0) if len(codes) else np.zeros((0, 2), np.uint64)
-    return pairs[:, 0].astype(np.int64), pairs[:, 1]
+    if not len(codes):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    start, begins = np.unique(start, return_inverse=True)
+    each = np.concatenate([word, start])
+    key = np.unique(np.concatenate([doc[a] * len(each) + codes[a], doc[b] * len(each) + len(word) + begins[codes[b]]]))
+    return key // len(each), each[key % len(each)]
 
 
 def groups(rows: list, texts: pa.Array, chars: int):
