@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import types as T
@@ -51,7 +52,7 @@ def test_decontamination_equals_brute_force(spark):
     got = sorted((str(x.doc_id), tuple(x["items"]), x.contaminated) for x in dc.decontaminate(frame(spark, rows), spark.createDataFrame(items, ITEMS)).collect())
     want = []
     for d, t in rows:
-        x = dc.plain((t or "").encode()).tobytes()
+        x = dc.string(dc.plain((t or "").encode()))
         hit = tuple(sorted({item for item, s, e in index.segments if within(s, x, e)}))
         want.append((str(d), hit, bool(hit)))
     assert got == sorted(want)
@@ -61,6 +62,35 @@ def test_decontamination_equals_brute_force(spark):
     assert dc.decontaminate(frame(spark, rows).limit(0), spark.createDataFrame(items, ITEMS)).collect() == []
 
 
+@pytest.mark.parametrize("block", [1 << 30, 300])
+def test_blocks_of_the_benchmark_do_not_change_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(dc, "BLOCK_BYTES", block)
+    r = random.Random(5)
+    items = [(i, " ".join("".join(r.choice("abcdé") for _ in range(6)) for _ in range(25))) for i in range(9)]
+    rows = [(0, None), (1, ""), (2, items[0][1] + " and " + items[5][1]), (2, items[0][1] + " and " + items[5][1]), (3, "x " * 200 + items[8][1]), (None, items[3][1]), (4, "nothing of it")]
+    got = sorted((str(x.doc_id), x.n_regions, tuple(x["items"]), x.contaminated, tuple(tuple(y) for y in x.regions)) for x in dc.decontaminate(frame(spark, rows), spark.createDataFrame(items, ITEMS)).collect())
+    one = lambda i, at: (i, at, at + len(items[i][1]))
+    two = (2, (0, 5), True, (one(0, 0), one(5, len(items[0][1]) + 5)))
+    assert got == sorted([("0", 0, (), False, ()), ("1", 0, (), False, ()), ("2", *two), ("2", *two), ("3", 1, (8,), True, (one(8, 400),)), ("None", 1, (3,), True, (one(3, 0),)), ("4", 0, (), False, ())])
+    assert sorted(str(x.doc_id) for x in dc.clean(frame(spark, rows), spark.createDataFrame(items, ITEMS)).collect()) == ["0", "1", "4"]
+
+
+def test_edits_count_characters_not_bytes():
+    item = "".join(chr(0x430 + i % 30) for i in range(96))
+    text = list(item)
+    for i in range(5, 96, 16):
+        text[i] = "é"  # six changed characters, twelve changed bytes
+    index = dc.Index([(1, item)])
+    assert dc.found_in([("vor " + "".join(text) + " nach").encode()], index) == [[(1, 4, 100)]]
+
+
+def test_a_repetitive_text_and_item():
+    index = dc.Index([(1, "a" * 200), (2, "ab" * 60)])
+    began = time.process_time()
+    assert [x[0] for x in dc.found_in([b"a" * 300_000], index)[0]] == [1]
+    assert time.process_time() - began < 30
+
+
 def corpus(r, n):
     rows, labels = [(0, None), (1, ""), (2, " \n")], [(0, 1, 0), (1, None, None)]
     for i in range(10, n):
