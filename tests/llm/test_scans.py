@@ -1,12 +1,13 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 from pyspark.sql import types as T
 
-from textloom.llm import packing, pii
+from textloom.llm import packing, pii, secrets
 from textloom.llm.packing import op9, tokenizer_path
 from textloom.llm.pii import op2, redact
 from textloom.llm.quality_rules import HOST_RATE, op8
@@ -43,7 +44,7 @@ def noise(seed, alphabet, n=400):
     return ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(n)]
 
 
-FIXED = ["", None, "a@b.c@d.e.f", "x@y@z.com", "1.2.3.4.5.6.7.8", "999.1.1.1 1.1.1.1", "4111 1111-1111 1111", "+1 (487) 555-7209", "é+49 30 123456-", "call+1234567890@x.org", "IBAN DE89 3704 0044 0532 0130 00 ok", "account no: 12345678-9", "SSN 123-45-6789", "http://u:pw@host/x", "+" * 3000, "1" * 5000, "a." * 4000 + "@b.c", "1 " * 4000]
+FIXED = ["", None, "a@b.c@d.e.f", "x@y@z.com", "1.2.3.4.5.6.7.8", "00000000000000000000001.1.1.1 0000000000000000000000256.1.1.1 " + "0" * 4000 + ".0.0.0", "999.1.1.1 1.1.1.1", "4111 1111-1111 1111", "+1 (487) 555-7209", "é+49 30 123456-", "call+1234567890@x.org", "IBAN DE89 3704 0044 0532 0130 00 ok", "account no: 12345678-9", "SSN 123-45-6789", "http://u:pw@host/x", "+" * 3000, "1" * 5000, "a." * 4000 + "@b.c", "1 " * 4000]
 
 
 def test_pii_base_spans_equal_the_patterns(spark):
@@ -65,6 +66,15 @@ def test_pii_added_spans():
     assert "account" in kinds("account no: 12345678-9")
     assert kinds("an account of the 3 accounts in 1999 and http://example.org/a?b=c") == []
     assert kinds("see http://u:pw1234@host/x") == ["url"]
+    assert kinds("see http://a/b?c=1&email=x and https://10.0.0.1/y") == ["url", "ip", "url"] or kinds("https://10.0.0.1/y") == ["url", "ip"]
+    assert kinds("http://plain.org/http://x?token=abc") == ["url"]
+
+
+def test_scans_take_time_in_proportion():
+    for find, unit in ((pii.find, "http://"), (pii.find, "mailto:"), (secrets.find, "eyJ"), (pii.find, "+1 ("), (pii.find, "account no "), (secrets.find, "token ")):
+        began = time.process_time()
+        find(unit * 100_000)
+        assert time.process_time() - began < 10, unit
 
 
 def test_redaction_leaves_no_base_span_and_clean_rows_alone(spark):

@@ -38,7 +38,8 @@ ACCOUNT = re.compile(r"(?: ?(?:no|nr|num|number|id|#)\b\.?)? ?[:#=]? ?([A-Z]{0,3
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 URL = re.compile(r"[^\s\"'<>]+")
-PERSONAL_URL = re.compile(r"[^/@\s:]+:[^/@\s]+@|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])|.*[?&](?:email|user|phone|ssn|token|password)=")
+PERSONAL_URL = re.compile(r"[^/@\s:]{1,256}:[^/@\s]{1,256}@|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])")
+PERSONAL_FIELD = re.compile(r"[?&](?:email|user|phone|ssn|token|password)=")
 
 #: What an anchor is for.
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "mailto:")
@@ -77,14 +78,15 @@ def iban_ok(value: str) -> bool:
 def find(text: str) -> list[tuple[int, int, int]]:
     """(start, number of kind, end) of every span."""
     out: list[tuple[int, int, int]] = []
-    email = ip = card = phone = added = 0  # up to where each parser has used the text
+    email = ip = card = phone = added = url = 0  # up to where each parser has used the text
+    field = -1
     for last, (what, size) in automaton().iter(text):
         at = last - size + 1
         if what == "digit":
             if at >= ip and (at == ip or not "0" <= text[at - 1] <= "9"):
                 if m := IP.match(text, at):
                     ip = m.end()
-                    if all(len(p) < 20 and int(p) < 256 for p in m[0].split(".")):
+                    if all(len(p := x.lstrip("0")) < 4 and int(p or 0) < 256 for x in m[0].split(".")):
                         out.append((at, 1, ip))
             if at >= card:
                 if m := CARD.match(text, at):
@@ -110,8 +112,11 @@ def find(text: str) -> list[tuple[int, int, int]]:
                 if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
                     out.append((at, 3, phone))
         elif what == "scheme":
-            if at >= added and (m := URL.match(text, last + 1)) and PERSONAL_URL.match(m[0]):
-                added = m.end()
+            if at >= added and last + 1 >= url and (m := URL.match(text, last + 1)):
+                url = m.end()  # schemes within one run of address characters share its end and fields
+                field = max((f.start() for f in PERSONAL_FIELD.finditer(text, last + 1, url)), default=-1)
+            if at >= added and last + 1 < url and (field > last or PERSONAL_URL.match(text, last + 1, url)):
+                added = url
                 out.append((at, 4, added))
         elif at >= added:
             if (m := ACCOUNT.match(text, last + 1)) and (at == 0 or not text[at - 1].isalnum()):

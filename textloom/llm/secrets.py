@@ -31,7 +31,7 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 HEX_CANDIDATE = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-TOKEN = re.compile(r"(?:ghp|gho|ghs|ghu)_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{40,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+TOKEN = re.compile(r"(?:ghp|gho|ghs|ghu)_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{40,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 KEY = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
 URL = re.compile(r"[a-z][a-z0-9+]{1,12}://[^\s/:@]{1,80}:([^\s/@]{6,200})@")
 #: Owners from which a value counts as a widely copied example, and bits a character from which it looks random.
