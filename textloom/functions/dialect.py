@@ -8,10 +8,15 @@ from __future__ import annotations
 
 import re
 
-WORD = r"\p{L}(?:\p{L}|[\x27\-])*"
+from ..sources.manuscripts import MANUSCRIPTS
+from .tex import ABSTRACT, HEADING, TITLE, DuckTex, SparkTex, blanked, bucket, heading, plain
+
+WORD = r"\p{L}[\p{L}\x27\-]*"
 PLAIN_WORD = r"[A-Za-z][A-Za-z\x27-]*"
 RUN_BREAK = r"[.,;:!?()\[\]|\x22\n]+"
 
+SECTION_START = r"(\\(?:section|subsection|chapter)\*?\s*(?:\[[^\]]*\])?\s*\{)"
+
 #: Texts in which the lexical rules fire, beside the documents, which are invented prose.
 FIXTURES = (
     "We delve into the tapestry of methods --- a testament to care. Notably, it works. Moreover, moreover it is robust.",
@@ -32,7 +37,30 @@ class Dialect:
         rows = " UNION ALL ".join(f"SELECT CAST({-1 - i} AS BIGINT), {self.text(t)}, 'fixture'" for i, t in enumerate(FIXTURES))
         return f"SELECT doc_id, text, source FROM documents UNION ALL {rows}"
 
+    def tex(self) -> str:
+        """Documents, whose lines are paragraphs, and the manuscripts."""
+        rows = " UNION ALL ".join(f"SELECT CAST({-100 - i} AS BIGINT), {self.text(x)}" for i, x in enumerate(MANUSCRIPTS))
+        return f"SELECT doc_id, replace(text, {self.newline}, concat({self.newline}, {self.newline})) AS text FROM documents UNION ALL {rows}"
+
     def relations(self) -> dict[str, str]:
+        return self.words_relations() | self.tex_relations()
+
+    def tex_relations(self) -> dict[str, str]:
+        """Sections by heading with their roles, paragraphs below them, and sentences of their plain text. All of it is made within a document's row: nothing is shuffled."""
+        t = self.t
+        title = heading(t, t.first("v", TITLE, 1))
+        parts = self.exploded("doc_id", "section", "x", f"SELECT doc_id, {self.zipped('parts', 'inherited')} AS a_ FROM (SELECT doc_id, parts, {self.filled('roles')} AS inherited FROM (SELECT doc_id, parts, {t.map('parts', bucket(t, title))} AS roles FROM (SELECT doc_id, {t.split(self.marked('text'), chr(92) + 'x01')} AS parts FROM tex) p) r) i")
+        name = f"CASE WHEN section > 0 THEN coalesce(x.role, 'unknown') WHEN {t.like('x.part', r'\\documentclass|\\begin\{document\}')} THEN 'preamble' ELSE 'document' END"
+        body = blanked(t, t.comments_gone("part"), t.floats, HEADING, r"\\begin\{abstract\}.*?\\end\{abstract\}")
+        return {
+            "tex": self.tex(),
+            "tex_sections": f"SELECT doc_id, CAST(section AS BIGINT) AS section, {name} AS bucket, {heading(t, t.first('x.part', TITLE, 1))} AS title, x.part AS part FROM ({parts}) s",
+            "tex_blocks": f"SELECT doc_id, section, bucket, {body} AS body FROM tex_sections WHERE bucket NOT IN ('preamble', 'skip') UNION ALL SELECT doc_id, section, 'abstract', {t.first('part', ABSTRACT, 1)} FROM tex_sections WHERE {t.like('part', ABSTRACT)}",
+            "tex_units": f"SELECT doc_id, section, bucket, CAST(unit AS BIGINT) AS unit, block, {plain(t, 'block')} AS plain FROM ({self.explode('doc_id, section, bucket', 'unit', 'block', t.split('body', chr(92) + 'n' + chr(92) + 's*' + chr(92) + 'n'), 'tex_blocks')}) u WHERE trim({plain(t, 'block')}) <> ''",
+            "tex_sentences": f"SELECT * FROM ({self.explode('doc_id, section, bucket, unit', 'sent', 's', self.sentences_of('plain'), 'tex_units')}) q WHERE trim(s) <> ''",
+        }
+
+    def words_relations(self) -> dict[str, str]:
         w, s = self.explode, self.sentences_of("text")
         return {
             "corpus": self.corpus(),
@@ -69,13 +97,34 @@ class Dialect:
 
 class Spark(Dialect):
     name = "spark"
+    t = SparkTex()
+    newline = r"'\n'"
+
+    def marked(self, x: str) -> str:
+        return f"regexp_replace({x}, r'{SECTION_START}', '\\u0001$1')"
+
+    def zipped(self, parts: str, roles: str) -> str:
+        return f"transform({parts}, (v, i) -> named_struct('part', v, 'role', {roles}[i]))"
+
+    def filled(self, x: str) -> str:
+        """Each value, or the last one before it that isn't null."""
+        return f"transform({x}, (v, i) -> get(reverse(filter(slice({x}, 1, i + 1), r -> r IS NOT NULL)), 0))"
+
+    def size(self, x: str) -> str:
+        return f"size({x})"
+
+    def firsts(self, x: str, n: int) -> str:
+        return f"slice({x}, 1, {n})"
+
+    def exploded(self, keep: str, pos: str, value: str, source: str) -> str:
+        return f"SELECT {keep}, {pos}, {value} FROM ({source}) q LATERAL VIEW posexplode(a_) y AS {pos}, {value}"
 
     def text(self, s: str) -> str:
         return '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"'
 
     def sql(self, body: str) -> str:
-        """Numbers with a point are doubles, not decimals."""
-        return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1D", super().sql(body))
+        """Numbers with a point are doubles, not decimals; strings are left as they are."""
+        return re.sub(r"""(r'[^']*'|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?<![\w.'])(\d+\.\d+)(?![\w.'])""", lambda m: m[1] or f"{m[2]}D", super().sql(body))
 
     def re(self, p: str) -> str:
         return f"r'{p}'"
@@ -116,6 +165,26 @@ class Spark(Dialect):
 
 class Duck(Dialect):
     name = "duckdb"
+    t = DuckTex()
+    newline = "chr(10)"
+
+    def marked(self, x: str) -> str:
+        return f"regexp_replace({x}, '{SECTION_START}', chr(1) || '\\1', 'g')"
+
+    def zipped(self, parts: str, roles: str) -> str:
+        return f"list_transform(range(1, len({parts}) + 1), lambda i: {{'part': ({parts})[i], 'role': ({roles})[i]}})"
+
+    def filled(self, x: str) -> str:
+        return f"list_transform(range(1, len({x}) + 1), lambda i: list_filter(({x})[1:i], lambda r: r IS NOT NULL)[-1])"
+
+    def size(self, x: str) -> str:
+        return f"len({x})"
+
+    def firsts(self, x: str, n: int) -> str:
+        return f"({x})[1:{n}]"
+
+    def exploded(self, keep: str, pos: str, value: str, source: str) -> str:
+        return f"SELECT {keep}, unnest(range(len(a_))) AS {pos}, unnest(a_) AS {value} FROM ({source}) q"
 
     def re(self, p: str) -> str:
         return f"'{p}'"
