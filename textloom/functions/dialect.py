@@ -159,6 +159,10 @@ class Spark(Dialect):
     def md5(self, x: str) -> str:
         return f"md5(CAST({x} AS STRING))"
 
+    def bag_hash(self, x: str) -> str:
+        """A hash of a bag of texts, whatever their order: the sum of their digests' first 15 hexadecimal digits."""
+        return f"CAST(sum(CAST(conv(substr(md5({x}), 1, 15), 16, 10) AS DECIMAL(38, 0))) AS STRING)"
+
     def series(self, n: int) -> str:
         return f"SELECT explode(sequence(0, {n})) AS i"
 
@@ -220,5 +224,8 @@ class Duck(Dialect):
     def md5(self, x: str) -> str:
         return f"md5(CAST({x} AS VARCHAR))"
 
+    def bag_hash(self, x: str) -> str:
+        return f"CAST(sum(CAST('0x' || substr(md5({x}), 1, 15) AS BIGINT)) AS VARCHAR)"
+
     def series(self, n: int) -> str:
         return f"SELECT unnest(range({n + 1})) AS i"

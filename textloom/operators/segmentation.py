@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.dialect import Dialect
-
 #: Word shapes and the prose limits.
 REGISTER_WORD = r"[A-Za-z][A-Za-z\x27-]{2,}"
 DISCOURSE_WORD = r"[A-Za-z][A-Za-z-]+"
@@ -16,23 +14,8 @@ QUERIES = {
     "g4_discourse_words": lambda q: f"SELECT doc_id, {q.count('text', DISCOURSE_WORD)} AS n FROM documents",
     "g5_paragraph_line_ranges": lambda q: "SELECT doc_id, block, CAST(min(line) + 1 AS BIGINT) AS first_line, CAST(max(line) + 1 AS BIGINT) AS last_line FROM (SELECT doc_id, line, s, CAST(sum(CASE WHEN trim(s) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS block FROM lines) b WHERE trim(s) <> '' GROUP BY doc_id, block",
     "g14_bank_admission": lambda q: f"SELECT doc_id, line, n_words FROM (SELECT doc_id, CAST(line AS BIGINT) AS line, n_words FROM line_features) f WHERE n_words BETWEEN {MIN_WORDS} AND {MAX_WORDS}",
-    "g15_content_pairs": lambda q: "SELECT a, b, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM pairs GROUP BY a, b",
-    "p1_latex_to_plain": lambda q: "SELECT doc_id, " + projected(q, "concat('\\emph{', coalesce(text, ''), '} \\cite{a1} see \\ref{s} and $x^2$ or $$y$$ ~end % note')") + " AS plain FROM documents",
-    "p5_prose_words": lambda q: f"SELECT doc_id, {q.count(q.replace('text', r'\[[A-Za-z-]+\]', ''), r'[^\x20\x09-\x0D]+')} AS n FROM corpus",
-    "p11_strip_markdown": lambda q: "SELECT doc_id, " + q.replace(q.replace(q.replace("concat('# ', coalesce(text, ''), ' [link](http://x.org) **bold** `code`')", r"\[([^\]]*)\]\([^)]*\)", ""), r"[*`#]+", ""), r"\x20+", " ") + " AS plain FROM documents",
     "p12_normal_terms": lambda q: f"SELECT term, count(*) AS n FROM (SELECT {q.replace(q.replace('lower(w)', r'\x27s$', ''), r'^[\x27-]+|[\x27-]+$', '')} AS term FROM words) t WHERE term <> '' GROUP BY term",
     "f1_is_prose": lambda q: f"SELECT doc_id, n_words BETWEEN {MIN_WORDS} AND {MAX_WORDS} AND alpha >= {MIN_ALPHA} * chars AND digits <= {MAX_DIGITS} * chars AS is_prose FROM (SELECT doc_id, length(text) AS chars, {q.count('text', r'[^\x20\x09-\x0D]+')} AS n_words, {q.count('text', r'\p{L}')} AS alpha, {q.count('text', r'[0-9]')} AS digits FROM documents) d",
-    "f7_anchored_sentences": lambda q: f"SELECT doc_id, count(*) AS n, CAST(sum(CASE WHEN {q.match('s', r'\[CITE\]|[0-9]|(?i) than |compared (?:to|with)')} THEN 1 ELSE 0 END) AS BIGINT) AS anchored FROM corpus_sentences GROUP BY doc_id",
     "f20_source_family": lambda q: f"SELECT {q.replace('source', r'[0-9]+$', '')} AS family, count(*) AS n FROM documents GROUP BY 1",
-    "x19_stable_ids": lambda q: f"SELECT doc_id, concat('spf-', substr({q.md5('concat(source, lang, doc_id)')}, 1, 16)) AS finding_id FROM documents",
+    "x19_stable_ids": lambda q: f"SELECT doc_id, substr({q.md5("concat(coalesce(source, ''), '|', coalesce(lang, ''), '|', doc_id)")}, 1, 16) AS finding_id FROM documents",
 }
-
-#: Substitutions of the plain projection, in order.
-PLAIN_STEPS = ((r"%[^\n]*", ""), (r"\$\$[^$]*\$\$", "[MATH]"), (r"\$[^$]*\$", "[math]"), (r"\\cite[a-z]*\{[^{}]*\}", "[CITE]"), (r"\\(?:label|ref|eqref)\{[^{}]*\}", ""), (r"\\[a-zA-Z]+\{", ""), (r"[{}]", ""), (r"~", " "))
-
-
-def projected(q: Dialect, column: str) -> str:
-    column = column if q.name == "duckdb" else column.replace("\\", "\\\\")
-    for pattern, to in PLAIN_STEPS:
-        column = q.replace(column, pattern, to)
-    return column

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import Duck, Spark
-from ..operators import aggregates, findings, lexical, manuscript, profiles, segmentation, windows_joins
+from ..operators import aggregates, findings, manuscript, measures, profiles, segmentation, windows_joins
 from ..sources.tables import register
 
-BODIES = segmentation.QUERIES | lexical.QUERIES | aggregates.QUERIES | windows_joins.QUERIES | profiles.QUERIES | manuscript.QUERIES | findings.QUERIES
+BODIES = segmentation.QUERIES | aggregates.QUERIES | windows_joins.QUERIES | profiles.QUERIES | manuscript.QUERIES | findings.QUERIES | measures.QUERIES
 
 
 def plan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

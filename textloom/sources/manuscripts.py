@@ -73,5 +73,33 @@ Some *prose* with a [link label](http://example.org/x) and **bold text** plus `c
 x = 1
 ```
 A second paragraph -- with words.
+""",
+    r"""\section{Data}
+The survey covers four fields that were observed over three winters, and each field was imaged in five bands by the same camera; the total area is large (about ninety square degrees), but the depth varies, however slightly, from field to field, and so does the seeing that sets the size of every object in the list.
+
+Each image was reduced by the same steps. The bias was removed first, the flat field second, and the sky last. Stars were then selected by their size and by their colour, and galaxies were kept when their size was larger than that of the stars, although a few compact galaxies were lost in this way, which we accept.
+\section{Methods}
+We measure the shape of each galaxy with a single fit. The fit has six parameters, and it starts from the moments of the image; it stops when the change is small. We test the fit on simulated images of known shape, with the same noise and the same seeing, and we find no bias above one part in a thousand (see below). \citep{Elk2003}
+
+The profile of each cluster is the mean of the shapes in rings. Ten rings are used, from the centre to the edge, and the error of a ring is the spread of its shapes divided by the root of their number. Rings with fewer than fifty galaxies are left out, while the rest are used as they are, without any further weight.
+\section{Results}
+Masses follow from the profiles by one more fit, now with two parameters. The masses of the forty clusters lie between one and nine units, and the scatter about the relation is small. Two clusters lie far from it; both are merging systems, yet their profiles look like those of the others, and we keep them in the list. It is $5$ units.
+
+The relation between mass and richness is steep. Its slope is larger than one, despite the small range, and the offset agrees with that of earlier work within its error. A second fit without the two merging clusters gives the same slope, and a fit with all fields apart from the first gives a slope that is lower by a tenth.
+""",
+    r"""\section{Data}
+The relation between mass and richness is steep. Its slope is larger than one, despite the small range, and the offset agrees with that of earlier work within its error. A second fit without the two merging clusters gives the same slope, and a fit with all fields apart from the first gives a slope that is lower by a tenth.
+
+We measure the shape of each galaxy with a single fit. The fit has six parameters, and it starts from the moments of the image; it stops when the change is small. We test the fit on simulated images of known shape, with the same noise and the same seeing, and we find no bias above one part in a thousand (see below).
+\section{Methods}
+Masses follow from the profiles by one more fit, now with two parameters. The masses of the forty clusters lie between one and nine units, and the scatter about the relation is small. Two clusters lie far from it; both are merging systems, yet their profiles look like those of the others, and we keep them in the list.
+
+The survey covers four fields that were observed over three winters, and each field was imaged in five bands by the same camera; the total area is large (about ninety square degrees), but the depth varies, however slightly, from field to field, and so does the seeing that sets the size of every object in the list.
+\section{Results}
+The profile of each cluster is the mean of the shapes in rings. Ten rings are used, from the centre to the edge, and the error of a ring is the spread of its shapes divided by the root of their number. Rings with fewer than fifty galaxies are left out, while the rest are used as they are, without any further weight.
+
+Each image was reduced by the same steps. The bias was removed first, the flat field second, and the sky last. Stars were then selected by their size and by their colour, and galaxies were kept when their size was larger than that of the stars, although a few compact galaxies were lost in this way, which we accept.
+
+We measure the shape of each galaxy with a single fit. The fit has six parameters, and it starts from the moments of the image; it stops when the change is small. We test the fit on simulated images of known shape, with the same noise and the same seeing, and we find no bias above one part in a thousand (see below).
 """,
 )
