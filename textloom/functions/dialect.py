@@ -100,8 +100,11 @@ class Spark(Dialect):
     t = SparkTex()
     newline = r"'\n'"
 
-    def marked(self, x: str) -> str:
-        return f"regexp_replace({x}, r'{SECTION_START}', '\\u0001$1')"
+    def marked(self, x: str, start: str = SECTION_START) -> str:
+        return f"regexp_replace({x}, r'{start}', '\\u0001$1')"
+
+    def joined(self, x: str, by: str) -> str:
+        return f"array_join({x}, '{by}')"
 
     def zipped(self, parts: str, roles: str) -> str:
         return f"transform({parts}, (v, i) -> named_struct('part', v, 'role', {roles}[i]))"
@@ -172,8 +175,11 @@ class Duck(Dialect):
     t = DuckTex()
     newline = "chr(10)"
 
-    def marked(self, x: str) -> str:
-        return f"regexp_replace({x}, '{SECTION_START}', chr(1) || '\\1', 'g')"
+    def marked(self, x: str, start: str = SECTION_START) -> str:
+        return f"regexp_replace({x}, '{start}', chr(1) || '\\1', 'g')"
+
+    def joined(self, x: str, by: str) -> str:
+        return f"array_to_string({x}, '{by}')"
 
     def zipped(self, parts: str, roles: str) -> str:
         return f"list_transform(range(1, len({parts}) + 1), lambda i: {{'part': ({parts})[i], 'role': ({roles})[i]}})"

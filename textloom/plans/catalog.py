@@ -1,4 +1,4 @@
-"""Every query by name: its Spark plan and its oracle."""
+"""Every query by name: its Spark plan and, where SQL can express it, its oracle."""
 
 from __future__ import annotations
 
@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import Duck, Spark
-from ..operators import aggregates, findings, manuscript, measures, profiles, segmentation, windows_joins
+from ..operators import aggregates, docshape, findings, manuscript, measures, models, profiles, provenance, records, segmentation, windows_joins
+from ..sources import readers
 from ..sources.tables import register
 
-BODIES = segmentation.QUERIES | aggregates.QUERIES | windows_joins.QUERIES | profiles.QUERIES | manuscript.QUERIES | findings.QUERIES | measures.QUERIES
+#: Queries as SQL over relations that each dialect defines for itself.
+BODIES = segmentation.QUERIES | aggregates.QUERIES | windows_joins.QUERIES | profiles.QUERIES | manuscript.QUERIES | findings.QUERIES | measures.QUERIES | records.QUERIES | docshape.QUERIES
+#: Queries as functions of a session and a folder, which SQL can't express.
+FRAMES = docshape.FRAMES | models.FRAMES | provenance.FRAMES | readers.FRAMES
 
 
 def plan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +25,7 @@ def plan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, name=name: plan(spark, sf_dir, name) for name in BODIES}
+    return {name: lambda spark, sf_dir, name=name: plan(spark, sf_dir, name) for name in BODIES} | FRAMES
 
 
 def oracle_sql() -> dict[str, str]:
