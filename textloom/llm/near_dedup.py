@@ -8,8 +8,9 @@ they are small, small ones are compared exhaustively on sketches, and candidate
 Large groups of near copies can't be split by tokens and must not be compared pair by pair. So representatives are
 first linked to one chosen member of their nodes (the most similar one); members that this has joined are one component,
 nodes of one component are dropped, and in the nodes left only members of different components are compared: on sketches,
-and those with a likely partner on their full sets, within the node, which gives one link for two components. A node that
-stays large is dealt out in blocks: its largest component's members stand in one block each, the others in all.
+and those with a likely partner on their full sets, within the node, which gives one link for two components. Nodes are
+split further as long as they are large and no component fills half of them, down to DEPTH levels. One that stays large
+is dealt out in blocks: groups of its largest component meet each group of other members, and these meet each other.
 
 Null, empty and blank texts have empty sets: linked with nothing. Rows with a null doc_id are linked with nothing and
 kept. Rows that share a doc_id are one node. Other columns are ignored. An empty table gives an empty result.
@@ -28,11 +29,15 @@ from .common import documents, mix, source_bytes, staged, trim
 from .components import components
 from .words import groups, hashed_words
 
-TREES, DEPTH, BRANCH, SMALL = 4, 3, 2, 256
+TREES, DEPTH, BRANCH, SMALL = 4, 12, 2, 256
+#: Levels whose minwise tokens have 64 bits; below them a token is a byte of the sketch.
+MARKED = 3
 #: Rounds in which components are joined by their most similar members, before what is left is compared exhaustively.
 MERGES = 1
-#: Members of a block of a node that stays large.
-BLOCK = 2048
+#: Members of a group of a node that stays large; a block holds two groups.
+BLOCK = 1024
+#: Entries of a matrix of intersections that are held at once.
+TILE = 1 << 22
 SKETCH = 128
 #: Links are looked for from this estimate on: five deviations of the sketch below 0.8.
 MARGIN = 0.18
@@ -72,7 +77,7 @@ SETS = "doc_id bigint, n_shingles bigint, digest binary, sketch binary, marks ar
 
 def sketcher(shingle: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used = TREES * DEPTH * BRANCH
+        used = TREES * MARKED * BRANCH
         with np.errstate(over="ignore"):
             for batch in batches:
                 for ids, texts in groups(batch.column("doc_id").to_pylist(), batch.column("text"), PART_BYTES):
@@ -100,8 +105,13 @@ def sketcher(shingle: int) -> Callable:
 
 
 def child(path: Column, tree: Column, level: int, j: int) -> Column:
-    f = tree * (DEPTH * BRANCH) + (level * BRANCH + j)
-    return F.struct(tree.alias("tree"), F.xxhash64(path, tree, F.lit(level), F.lit(j), F.element_at("marks", (f + 1).cast("int"))).alias("path"))
+    if level < MARKED:
+        f = tree * (MARKED * BRANCH) + (level * BRANCH + j)
+        token = F.element_at("marks", (f + 1).cast("int"))
+    else:
+        f = TREES * BRANCH * MARKED + (level - MARKED) * TREES * BRANCH + tree * BRANCH + j
+        token = F.substr(F.col("sketch"), (f % SKETCH + 1).cast("int"), F.lit(1))
+    return F.struct(tree.alias("tree"), F.xxhash64(path, tree, F.lit(level), F.lit(j), token).alias("path"))
 
 
 def similar(least: float) -> Callable:
@@ -125,7 +135,7 @@ def by_node(group: Callable, out: list[str]) -> Callable:
 
         def close() -> Iterator[pa.RecordBatch]:
             if len(held) > 1 and (rows := group(*now, *zip(*held, strict=True))):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if name == "block" else pa.int64()) for name, c in zip(out, zip(*rows, strict=True), strict=True)], out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], out)
 
         for batch in batches:
             for node, block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -172,23 +182,35 @@ def linking(percent: int) -> Callable:
         row, column = row[shared[column]], number[column[shared[column]]]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        both = np.zeros((len(own), len(own)), np.float32)
-        for a in range(0, int(shared.sum()), 4096):
-            i, j = np.searchsorted(column, (a, a + 4096))
-            m = np.zeros((len(own), 4096), np.float32)
-            m[row[i:j], column[i:j] - a] = 1
-            both += m @ m.T
-        comp = np.array(comps)
-        ok = (both > 0) & (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] < comp[None, :])
-        i, j = np.nonzero(ok)
-        if not len(i):
-            return []
-        _, first = np.unique(np.stack([comp[i], comp[j]]), axis=1, return_index=True)
-        return [(reps[x], reps[y]) for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True)]
+        comp, found = np.array(comps), []
+        wide = max(64, TILE // len(own))  # columns, and rows, worked on at once
+        for top in range(0, len(own), wide):
+            both = np.zeros((min(wide, len(own) - top), len(own)), np.float32)
+            for a in range(0, int(shared.sum()), wide):
+                i, j = np.searchsorted(column, (a, a + wide))
+                m = np.zeros((len(own), wide), np.float32)
+                m[row[i:j], column[i:j] - a] = 1
+                both += m[top : top + wide] @ m.T
+            own_n, own_comp = n[top : top + wide, None], comp[top : top + wide, None]
+            i, j = np.nonzero((both > 0) & (100 * both >= percent * (own_n + n[None, :] - both)) & (own_comp < comp[None, :]))
+            if len(i):
+                _, first = np.unique(np.stack([comp[i + top], comp[j]]), axis=1, return_index=True)
+                found += [(comps[x + top], comps[y], reps[x + top], reps[y]) for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True)]
+        return [x[2:] for x in {x[:2]: x for x in found}.values()]
 
     return by_node(group, ["a", "b"])
 
 
+def blocks(rep: Column, in_main: Column, most: Column, rest: Column) -> Column:
+    """The blocks of a node in which a member stands: each pair of a group of main members and one of others, and of two groups of others."""
+    own, of = (F.ceil(x / BLOCK).cast("bigint") for x in (most, rest))
+    i, j = F.pmod(F.xxhash64(rep), own), F.pmod(F.xxhash64(rep), of)
+    among = F.filter(F.sequence(F.lit(0).cast("bigint"), of - 1), lambda x: x != j)
+    pairs = F.transform(among, lambda x: own * of + F.least(x, j) * of + F.greatest(x, j))
+    with_main = F.transform(F.sequence(F.lit(0).cast("bigint"), own - 1), lambda x: x * of + j)
+    return F.when(in_main, F.sequence(i * of, i * of + of - 1)).otherwise(F.concat(with_main, pairs))
+
+
 def full_sets(base: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """rep and its whole set, of the documents in ids (rep). A repeated doc_id gives one of its sets for each text."""
     sc = base.sparkSession.sparkContext
@@ -281,29 +303,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     labelled = reps.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "sketch", "marks", F.coalesce("component", "rep").alias("comp"))
     rows = labelled.select("rep", "comp", "sketch", tree).select("rep", "n.tree", "n.path", "comp", "sketch")
     leaves = []
+    rows = staged(rows, "nodes")
     for level in range(1, DEPTH + 1):
-        rows = staged(rows, "nodes")
         own = rows.groupBy("path", "comp").agg(F.count("*").alias("c"))
         size = own.groupBy("path").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("most < n")
         rows = rows.join(size, "path")
         # tokens don't part a node that one component fills by half
         done = F.lit(level == DEPTH) | (F.col("n") <= SMALL) | (2 * F.col("most") >= F.col("n"))
-        leaves.append(rows.where(done).select("path", "n", "main", "rep", "comp", "sketch"))
-        if level < DEPTH:
-            rows = rows.where(~done).select("rep", "tree", "path", "comp", "sketch").join(reps.select("rep", "marks"), "rep")
-            rows = rows.select("rep", "comp", "sketch", F.explode(F.array(*(child(F.col("path"), F.col("tree"), level, j) for j in range(BRANCH)))).alias("x")).select("rep", "x.tree", "x.path", "comp", "sketch").distinct()
+        leaves.append(rows.where(done).select("path", "n", "most", "main", "rep", "comp", "sketch"))
+        rows = rows.where(~done).select("rep", "tree", "path", "comp", "sketch")
+        if level < MARKED:
+            rows = rows.join(reps.select("rep", "marks"), "rep")
+        below = F.explode(F.array(*(child(F.col("path"), F.col("tree"), level, j) for j in range(BRANCH)))).alias("x")
+        rows = staged(rows.select("rep", "comp", "sketch", below).select("rep", "x.tree", "x.path", "comp", "sketch").distinct(), "nodes")
+        if level == DEPTH or rows.isEmpty():
+            break
     leaf = leaves[0]
     for x in leaves[1:]:
         leaf = leaf.unionAll(x)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    of = F.when(F.col("comp") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
-    dealt = leaf.select("path", F.explode(of).alias("block"), "rep", "comp", "sketch")
+    dealt = leaf.select("path", F.explode(blocks(F.col("rep"), F.col("comp") == F.col("main"), F.col("most"), F.col("n") - F.col("most"))).alias("block"), "rep", "comp", "sketch")
     parts = max(12, -(-source_bytes(docs) // (8 << 20)))
 
     def together(rows: DataFrame, last: str) -> DataFrame:
         return rows.select("path", "block", "rep", "comp", last).repartition(parts, "path", "block").sortWithinPartitions("path", "block")
 
-    some = staged(together(dealt, "sketch").mapInArrow(involved(least), "path bigint, block int, rep bigint, comp bigint").distinct(), "involved")
+    some = staged(together(dealt, "sketch").mapInArrow(involved(least), "path bigint, block bigint, rep bigint, comp bigint").distinct(), "involved")
     own = staged(full_sets(base, some.select("rep").distinct(), shingle), "sets")
     links = links.unionAll(together(some.join(own, "rep"), "elements").mapInArrow(linking(percent), "a bigint, b bigint"))
     joined = staged(components(links), "components")
