@@ -33,7 +33,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 #: Words remembered by a Python worker, over all its tasks, and characters of text worked on at once.
-MOST_WORDS, PART_CHARS = 1_000_000, 4 << 20
+MOST_WORDS, PART_CHARS = 1_000_000, 1 << 20
 PUNCTUATED = re.compile(r"([a-z]+)([.,;:!?|%&*$#]+)")
 EMPTY = np.zeros(0, "<u4")
 
@@ -126,7 +126,8 @@ def parts(ids: list, texts: pa.Array) -> Iterator[tuple[list, list[str]]]:
         if size > PART_CHARS:
             yield d, t
             d, t, size = [], [], 0
-    yield d, t
+    if d:
+        yield d, t
 
 
 def pieces(n: int, full: int) -> list[tuple[int, int]]:
@@ -145,28 +146,32 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 
 def packed(path: str, full: int, with_ids: bool = False, most: int = MOST_WORDS) -> Callable:
+    names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
+
+    def rows(some: list, ids_of: list[np.ndarray]) -> pa.RecordBatch:
+        """The pieces of some documents; their ids stand in one flat buffer, which the pieces cut up."""
+        docs, starts, lengths, totals = [], [], [], []
+        for d, ids in zip(some, ids_of, strict=True):
+            cut = pieces(len(ids), full)
+            docs += [d] * len(cut)
+            totals += [len(ids)] * len(cut)
+            for s, n in cut:
+                starts.append(s)
+                lengths.append(n)
+        flat = np.concatenate([EMPTY, *ids_of])
+        stops = np.cumsum(np.array([0, *lengths], np.int64))
+        raw, at = memoryview(flat).cast("B"), (4 * stops).tolist()
+        sums = [zlib.crc32(raw[x:y]) for x, y in zip(at, at[1:], strict=False)]
+        columns = [pa.array(x, pa.int64()) for x in (docs, starts, lengths, sums, totals)] + [pa.array([n.bit_length() - 1 for n in lengths], pa.int32())]
+        if with_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat.view("<i4"))))
+        return pa.RecordBatch.from_arrays(columns, names)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path, most)
         for batch in batches:
-            docs: list = []
-            starts, lengths, sums, totals, ids_of = [], [], [], [], []
             for some, texts in parts(batch.column("doc_id").to_pylist(), batch.column("text")):
-                for d, ids in zip(some, words.ids(texts), strict=True):
-                    cut = pieces(len(ids), full)
-                    docs += [d] * len(cut)
-                    totals += [len(ids)] * len(cut)
-                    for s, n in cut:
-                        starts.append(s)
-                        lengths.append(n)
-                        sums.append(zlib.crc32(ids[s : s + n].tobytes()))
-                        if with_ids:
-                            ids_of.append(ids[s : s + n])
-            columns = [pa.array(x, pa.int64()) for x in (docs, starts, lengths, sums, totals)] + [pa.array([n.bit_length() - 1 for n in lengths], pa.int32())]
-            names = [x.split()[0] for x in PIECES.split(", ")]
-            if with_ids:
-                columns.append(pa.array(ids_of, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                yield rows(some, list(words.ids(texts)))
         trim()
 
     return run
