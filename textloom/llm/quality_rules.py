@@ -88,7 +88,7 @@ def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     if v.count() <= BROADCAST_HOSTS:
         v = F.broadcast(v)
     return d.join(v, "host", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(F.col("host_rate") >= F.col("host_limit"), F.lit(False))).alias("kept"), "host_rate"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(F.col("host_rate") >= F.col("host_limit"), F.lit(False))).alias("kept"), F.round("host_rate", 9).alias("host_rate")
     )
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
 from .decontamination import op1
 from .lm import op3
 from .near_dedup import op7
+from .oracles import ORACLE_SQL  # noqa: F401  the queries' DuckDB SQL
 from .packing import op9
 from .pii import op2
 from .quality_classifier import op4
@@ -36,4 +38,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": on_documents(op10),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The contract's base columns of operators whose other columns SQL can't express, by the same operators.
+QUERIES |= {
+    "base_columns_of_pii": lambda spark, sf_dir: QUERIES["op2_pii"](spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"),
+    "base_columns_of_secrets": lambda spark, sf_dir: QUERIES["op6_secret_scan"](spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256"),
+    "base_columns_of_lm": lambda spark, sf_dir: QUERIES["op3_lm_score"](spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score")),
+}
