@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import Duck, Spark
-from ..operators import aggregates, docshape, findings, manuscript, measures, models, profiles, provenance, records, segmentation, windows_joins
+from ..operators import aggregates, axes, docshape, findings, manuscript, measures, models, profiles, provenance, records, segmentation, windows_joins
 from ..sources import readers
 from ..sources.tables import register
 
 #: Queries as SQL over relations that each dialect defines for itself.
-BODIES = segmentation.QUERIES | aggregates.QUERIES | windows_joins.QUERIES | profiles.QUERIES | manuscript.QUERIES | findings.QUERIES | measures.QUERIES | records.QUERIES | docshape.QUERIES
+BODIES = segmentation.QUERIES | aggregates.QUERIES | windows_joins.QUERIES | profiles.QUERIES | manuscript.QUERIES | findings.QUERIES | measures.QUERIES | records.QUERIES | docshape.QUERIES | axes.QUERIES
 #: Queries as functions of a session and a folder, which SQL can't express.
 FRAMES = docshape.FRAMES | models.FRAMES | provenance.FRAMES | readers.FRAMES
 
