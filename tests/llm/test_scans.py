@@ -110,6 +110,28 @@ def test_secrets_base_spans_and_ownership(spark):
     assert op6(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_verdicts_by_owners_and_repositories(spark):
+    r = random.Random(13)
+    values = ["".join(r.choice("0123456789abcdef") for _ in range(32)) for _ in range(6)] + ["a" * 32]
+    rows, i = [], 0
+    for v, value in enumerate(values):
+        for j in range((1, 2, 3, 19, 20, 25, 1)[v]):
+            rows.append((i, f"x {value} y {value if j % 2 else ''}", f"o{j % (1, 2, 3, 1, 1, 2, 1)[v]}"))
+            i += 1
+    rows += [rows[0], (None, f"z {values[1]}", None), (i, f"{values[0]} {values[2]}", "o0")]
+    held = {v: (len({s for _, t, s in rows if v in t}), len({d for d, t, _ in rows if v in t})) for v in values}
+    names = ("n_live", "n_shared", "n_example", "most_owners", "most_repositories")
+    want = []
+    for d, t, _ in rows:
+        n = dict.fromkeys(names, 0)
+        for v in (v for v in values if v in t):
+            owners, repositories = held[v]
+            n["n_example" if owners >= 3 or len(set(v)) == 1 else "n_live" if owners == 1 and repositories < 20 else "n_shared"] += 1
+            n["most_owners"], n["most_repositories"] = max(n["most_owners"], owners), max(n["most_repositories"], repositories)
+        want.append(str((d, *(n[x] for x in names))))
+    assert sorted(str((x.doc_id, *(x[c] for c in names))) for x in op6(frame(spark, rows)).collect()) == sorted(want)
+
+
 def brute_rules(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]

@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Every text is scanned once for candidates. The candidates' value hashes are counted over the whole corpus by distinct
-owner (source) and repository (document): a value that many owners hold is a copied example, a value of one owner
-that looks random is live-looking. Counts are made from pairs (value, owner) reduced before they are shuffled, so a
+owner (source) and repository (document): a value that many owners hold is a copied example, a value of one owner and
+few repositories that looks random is live-looking. Counts are made from pairs (value, owner) reduced before they are shuffled, so a
 value in a third of all documents costs one row a task; verdicts go back by a join on the value, which AQE may split.
 
 Spans added to the base kinds: `token` (provider prefixes), `key` (PEM private key headers) and `url` (user:password
@@ -34,8 +34,8 @@ HEX_CANDIDATE = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 TOKEN = re.compile(r"(?:ghp|gho|ghs|ghu)_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{40,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 KEY = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
 URL = re.compile(r"[a-z][a-z0-9+]{1,12}://[^\s/:@]{1,80}:([^\s/@]{6,200})@")
-#: Owners from which a value counts as a widely copied example, and bits a character from which it looks random.
-WIDE_OWNERS, LIVE_BITS = 3, 2.5
+#: Owners from which a value counts as a widely copied example, repositories from which one owner's value is shared, and bits a character from which it looks random.
+WIDE_OWNERS, WIDE_REPOSITORIES, LIVE_BITS = 3, 20, 2.5
 
 
 def find(text: str) -> list[tuple[int, int, int, str]]:
@@ -74,23 +74,24 @@ def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """value, owners, repositories (documents): both steps reduce before they shuffle."""
-    pairs = scanned.select("owner", F.explode("found.value").alias("value")).groupBy("value", "owner").agg(F.count("*").alias("n"))
+    """value, distinct owners and repositories (documents, by id): every step reduces before it shuffles."""
+    each = scanned.select("owner", "doc_id", F.explode("found.value").alias("value")).groupBy("value", "owner", "doc_id").agg(F.lit(1).alias("one"))
+    pairs = each.groupBy("value", "owner").agg(F.count("*").alias("n"))
     return pairs.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
 def secret_scan(docs: DataFrame, owner: str = "source") -> DataFrame:
-    """The base columns and spans of each document, with its values' verdicts: live (one owner, random), shared (few owners), example (widely copied or not random)."""
+    """The base columns and spans of each document, with its values' verdicts: live (one owner, few repositories, random), shared (few owners, or many repositories of one), example (widely copied or not random)."""
     base = documents(docs, owner) if owner in [c.lower() for c in docs.columns] else documents(docs).withColumn(owner, F.lit(None).cast("string"))
-    scanned = staged(base.select("doc_id", F.col(owner).cast("string").alias("owner"), "text").mapInArrow(scan, SCANNED), "secrets").withColumn("row", F.monotonically_increasing_id())
+    scanned = staged(base.select("doc_id", F.col(owner).cast("string").alias("owner"), "text").mapInArrow(scan, SCANNED).withColumn("row", F.monotonically_increasing_id()), "secrets")
     hit = scanned.where("size(found) > 0").select("row", F.explode("found").alias("f")).select("row", "f.value", "f.random")
     verdict = (
         hit.join(ownership(scanned), "value")
-        .withColumn("verdict", F.when((F.col("owners") >= WIDE_OWNERS) | ~F.col("random"), "example").when(F.col("owners") == 1, "live").otherwise("shared"))
+        .withColumn("verdict", F.when((F.col("owners") >= WIDE_OWNERS) | ~F.col("random"), "example").when((F.col("owners") == 1) & (F.col("repositories") < WIDE_REPOSITORIES), "live").otherwise("shared"))
         .groupBy("row")
-        .agg(*(F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("live", "shared", "example")), F.max("owners").alias("most_owners"))
+        .agg(*(F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("live", "shared", "example")), F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"))
     )
-    counts = [F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("n_live", "n_shared", "n_example", "most_owners")]
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("n_live", "n_shared", "n_example", "most_owners", "most_repositories")]
     return scanned.join(verdict, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", *counts)
 
 
