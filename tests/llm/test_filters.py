@@ -1,7 +1,10 @@
+import math
 import random
 import time
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import types as T
 
 from textloom.llm import decontamination as dc
@@ -123,6 +126,59 @@ def test_classifier_on_held_out_documents(spark):
     assert kept == {d for d, x in got.items() if x.selected}
 
 
+def test_statistics_and_selection_equal_brute_force(spark):
+    rows, labels, text = corpus(random.Random(11), 400)
+    rows.append(rows[60])
+    got = qc.classify(frame(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
+    ids = lambda keep: sorted((d for d, q, t in labels if keep(q, t)), key=lambda d: (order[d], d))
+    order = {x.doc_id: x.h for x in spark.createDataFrame(labels, LABELS).selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    good, bad = ids(lambda q, t: q == 1 and t == 0), ids(lambda q, t: t == 1)
+    seen, toxic_seen = set(good[::2]), set(bad[::2])
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    words = lambda t: [w.lower().encode() for w in (t or "").split()]
+
+    def grams(t):
+        one = [mixed(xxhash.xxh64_intdigest(w)) for w in words(t)]
+        return [x % qc.BUCKETS for x in one] + [mixed((a * 31 + b) % 2**64) % qc.BUCKETS for a, b in zip(one, one[1:], strict=False)]
+
+    def signs(t):
+        own = set(words(t))
+        return [mixed(h) % qc.BUCKETS for h in {xxhash.xxh64_intdigest(w) for w in own} | {xxhash.xxh64_intdigest(w[:5] + b" ") for w in own if len(w) >= 5}]
+
+    raw, target, n_good, n_toxic = Counter(), Counter(), Counter(), Counter()
+    for d, t in rows:
+        raw.update(grams(t))
+        if d in seen:
+            target.update(grams(t))
+            n_good.update(signs(t))
+        if d in toxic_seen:
+            n_toxic.update(signs(t))
+    scale = sum(target.values()) / sum(raw.values())
+    ratio = lambda b, a: math.log((target[b] + a) / (raw[b] * scale + a))
+    a, z = sum(d in seen for d, _ in rows), sum(d in toxic_seen for d, _ in rows)
+    share = lambda c, n: (c + qc.SMOOTH_TOXIC * n / (a + z)) / (n + qc.SMOOTH_TOXIC)
+    sign = lambda b: max(0.0, math.log(share(n_toxic[b], z) / share(n_good[b], a)) - qc.CLEAR)
+    for x in got:
+        g = grams(text.get(x.doc_id))
+        assert x.n_grams == len(g)
+        if g:
+            assert x.mean_ratio == pytest.approx(sum(ratio(b, qc.SMOOTH_MEAN) for b in g) / len(g), abs=1e-5)
+            assert x.rare_ratio == pytest.approx(sum(min(ratio(b, qc.SMOOTH_RARE) + 1, 0) for b in g) / math.sqrt(len(g)), abs=1e-4)
+            assert x.toxic_signs == pytest.approx(sum(map(sign, signs(text[x.doc_id]))), abs=1e-4)
+    # the k rows with the largest keys are selected, and the noise is Gumbel noise at the temperature
+    for k in (1, 37, 200):
+        rows_k = qc.classify(frame(spark, rows), spark.createDataFrame(labels, LABELS), k=k, temperature=1.0).collect()
+        least = sorted((x.key for x in rows_k), reverse=True)[k - 1]
+        assert {x.doc_id for x in rows_k if x.selected} == {x.doc_id for x in rows_k if x.key >= least}
+    noise = [x.key - x.weight for x in rows_k if x.n_grams]
+    assert abs(sum(noise) / len(noise) - 0.5772) < 0.2
+
+
 def test_toxic_documents_are_caught_in_every_language(spark):
     r = random.Random(8)
     marks = {"fr": "réeux", "de": "achlich", "es": "ciónmal"}

@@ -6,7 +6,8 @@ each in units of its cut: the mean ratio, the sum of strongly negative ratios ov
 that the target never uses), and the signs of toxic text: different words and word beginnings of PREFIX characters that
 stand in a far larger share of the toxic labelled documents than of the good ones. The first two cuts are the CUT quantile
 over labelled good documents that the target model has not seen. The cut on toxic signs is where the share of unseen toxic
-documents kept, and GOOD_WORTH times the share of unseen good ones rejected, is smallest. The sample is drawn by Gumbel top-k on the weights, with k the number of documents above the cut.
+documents kept, and GOOD_WORTH times the share of unseen good ones rejected, is smallest. The sample is drawn by Gumbel
+top-k on the weights at a temperature; k is a parameter, by default the number of documents above the cut.
 
 The target model and the cuts are fitted on at most FIT good and FIT toxic labelled rows (those with the smallest hashes of their ids);
 everything else covers all documents. Null and empty texts have no n-gram and are rejected; without any fitting label
@@ -136,6 +137,7 @@ class Fitted:
     mean_cut: float
     rare_cut: float
     toxic_cut: float
+    temperature: float = 1 / SHARPNESS
     least_key: float = -1e300
 
     def weight(self, n: Column, mean: Column, rare: Column, toxic: Column) -> Column:
@@ -143,7 +145,7 @@ class Fitted:
 
     def key(self, doc_id: Column, weight: Column) -> Column:
         u = (F.shiftrightunsigned(F.xxhash64(F.coalesce(doc_id, F.lit(-1)), F.lit(20260726)), 11) + 0.5) / float(1 << 53)
-        return weight + -F.log(-F.log(u)) / SHARPNESS
+        return weight + -F.log(-F.log(u)) * self.temperature
 
 
 def best_cut(good: np.ndarray, toxic: np.ndarray) -> float:
@@ -157,7 +159,7 @@ def best_cut(good: np.ndarray, toxic: np.ndarray) -> float:
     return max(1e-3, float(values[i] + values[min(i + 1, len(values) - 1)]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Fitted, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 1 / SHARPNESS) -> tuple[Fitted, DataFrame]:
     """The fitted decision, and doc_id, n_grams, mean_ratio, rare_ratio, toxic_signs, weight, key of every document."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     base = documents(docs)
@@ -172,9 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Fitted, DataFrame]:
     signed = spark.createDataFrame([*((i, False) for i in unseen), *((i, True) for i in bad[1::2])], "doc_id bigint, bad boolean")
     found = measured.join(F.broadcast(signed), "doc_id").where("n_grams > 0").groupBy("doc_id", "bad").agg(F.first("toxic_signs").alias("t")).collect()
     toxic_cut = best_cut(np.array([x.t for x in found if not x.bad]), np.array([x.t for x in found if x.bad]))
-    fitted = Fitted(ratios, max(-(q.m or 0.0), 1e-3) if q.m is not None else 1e9, max(-(q.r or 0.0), 1e-3) if q.r is not None else 1e9, toxic_cut)
+    fitted = Fitted(ratios, max(-(q.m or 0.0), 1e-3) if q.m is not None else 1e9, max(-(q.r or 0.0), 1e-3) if q.r is not None else 1e9, toxic_cut, temperature)
     weighted = measured.withColumn("weight", fitted.weight(F.col("n_grams"), F.col("mean_ratio"), F.col("rare_ratio"), F.col("toxic_signs"))).withColumn("key", fitted.key(F.col("doc_id"), F.col("weight")))
-    k = weighted.where("weight >= -1").count()
+    if k is None:
+        k = weighted.where("weight >= -1").count()
     fitted.least_key = kth_largest(weighted, "key", k)
     return fitted, weighted
 
@@ -204,9 +207,9 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
     return lo
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row a document: its n-grams, statistics, weight, key and whether it is selected."""
-    fitted, weighted = fit(docs, labels)
+def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 1 / SHARPNESS) -> DataFrame:
+    """One row a document: its n-grams, statistics, weight, key and whether it is selected. k: how many to select, by default as many as lie above the cut; temperature: of the Gumbel noise, in units of the cut."""
+    fitted, weighted = fit(docs, labels, k, temperature)
     return weighted.withColumn("selected", F.col("key") >= fitted.least_key)
 
 
