@@ -1,4 +1,11 @@
-"""The corpus pipeline: STAGES in order, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: STAGES in order, each written as Parquet and read again as the next one's documents.
+
+Null, empty and blank texts have no n-gram and go in the first stage. Rows with a null doc_id go through every stage: near-
+duplicates are looked for among rows with an id. Rows that share a doc_id are judged by their texts in the classifier, are
+one node in the near-duplicates stage and are packed each. Rows tied at the classifier's last key are all kept. Texts of any
+length are taken whole. Other columns, whatever their names, stay until the last stage, which returns pieces. An empty table
+gives an empty result.
+"""
 
 from __future__ import annotations
 
