@@ -58,3 +58,27 @@ def test_run_equals_the_stages_by_hand(spark, tmp_path):
     redacted = corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path))
     assert redacted.columns == docs.columns and redacted.where("text like '%@%'").count() == 0
     assert all(x.n_chars == (None if x.text is None else len(x.text)) for x in redacted.collect())
+
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, rep bigint, comp string, `key` int, text_ string"
+
+
+def test_stages_handle_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    r = random.Random(9)
+    prose = lambda n: " ".join(f"w{min(r.randint(0, 300), r.randint(0, 300))}" for _ in range(n))
+    rows = [(i, prose(40), "en", None, None, 1, "c", 2, "x") for i in range(300)]
+    rows += [(None, prose(40), None, None, None, None, None, None, None), (5, rows[5][1], "en", "s", 3, 1, "c", 2, "x"), (5, prose(40), "en", "s", 3, 1, "c", 2, "x"), (700, None, "en", "s", 0, 1, "c", 2, "x"), (701, " \n", "en", "s", 2, 1, "c", 2, "x"), (702, prose(30_000), "en", "s", 3, 1, "c", 2, "x")]
+    for name, some in (("full", rows), ("empty", [])):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, DOCS).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)] if some else [], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame([(None, "a"), (1, None), (2, "")] if some else [], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            assert stage(spark, docs, path).columns == docs.columns
+        pieces = corpus_pipeline.run(spark, path).collect()
+        if not some:
+            assert pieces == []
+            continue
+        ids = [x.doc_id for x in pieces]
+        assert {None, 702} <= set(ids) and not {700, 701} & set(ids) and len(set(ids)) > 280
