@@ -52,8 +52,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(d, t, "extra", 3) for d, t in rows], SCHEMA).repartition(3)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substring_dedup_equals_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "at_once"), [(1, 1 << 30), (2, 60)])
+def test_substring_dedup_equals_brute_force(spark, monkeypatch, seed, at_once):
+    monkeypatch.setattr(runs, "SLICE", at_once)
     rows = corpus(seed=seed)
     got = sorted(map(str, (tuple(x) for x in op5(frame(spark, rows)).collect())))
     want = []
@@ -62,7 +63,9 @@ def test_substring_dedup_equals_brute_force(spark, seed):
     assert got == sorted(want)
 
 
-def test_suffix_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("at_once", [1 << 30, 500])
+def test_suffix_dedup_equals_brute_force(spark, monkeypatch, at_once):
+    monkeypatch.setattr(runs, "SLICE", at_once)
     rows = corpus(40)
     got = sorted(map(str, (tuple(x) for x in op10(frame(spark, rows)).collect())))
     want = []

@@ -20,20 +20,31 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir), or a local one where it is unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); a local one where it is unset and the master is local, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="textloom-"))
         at = f"file://{_OWN_DIR[0]}"
     return f"{at.rstrip('/')}/textloom-{spark.sparkContext.applicationId}"
 
 
+#: Whether Spark deletes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: lineage ends there, and lost executors cost no recomputation."""
+    """df written once to the shared folder and read again: lineage ends there, and lost executors cost no recomputation. The shuffle files it took are deleted at once, since nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,14 +56,6 @@ def drop_staged(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner delete the shuffle files of frames that are gone."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def source_bytes(df: DataFrame) -> int:
     """Bytes of the files under a frame, which only choose numbers of partitions; 0 where Spark doesn't know them."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
@@ -63,7 +66,7 @@ def source_bytes(df: DataFrame) -> int:
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows and bytes, so a Python worker holds little of long texts at once. A session setting; results don't depend on it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:

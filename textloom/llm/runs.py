@@ -3,7 +3,8 @@
 Consecutive windows whose smallest m-gram is the same occurrence form a run. A run travels once, as one packed
 string, to the bucket of that m-gram, so equal windows of any two documents meet in one bucket. Buckets are many
 and small; their number follows the input. Copies of a run within a task's chunk are settled there: only those of
-the smallest doc_id travel, so a passage in a third of all documents costs a bucket one run a chunk.
+the smallest doc_id travel, so a passage in a third of all documents costs a bucket one run a chunk. A bucket that is
+large all the same is settled in slices of window hashes, so its memory is bounded by a slice and one task's share.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, drop_staged, free_shuffles, ids_repeat, mix, source_bytes, staged, text_bytes
+from .common import documents, ids_repeat, mix, source_bytes, staged, text_bytes, trim
 
 _B = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-#: Input bytes, as stored, for which a bucket is made.
-BUCKET_BYTES = 3 << 20
+#: Input bytes, as stored, for which a bucket is made, and for which a partition of buckets.
+BUCKET_BYTES, PARTITION_BYTES = 1 << 20, 4 << 20
+#: Windows of a bucket that are settled at once; more are settled in slices.
+SLICE = 2_500_000
 #: Payload bytes that a task gathers before it writes them out by bucket.
 FLUSH_BYTES = 24 << 20
 
@@ -107,11 +110,15 @@ def pack(rows: list[tuple]) -> bytes:
     """rows: arrays of document, text hash, start, windows, payload length, and the payload."""
     ids, rid, start, count, size = (np.concatenate([r[i] for r in rows]) for i in range(5))
     head = struct.pack("<q", len(ids)) + np.diff(ids, prepend=np.int64(0)).astype("<i8").tobytes() + rid.astype("<i8").tobytes() + start.astype("<i4").tobytes() + count.astype("<i4").tobytes() + size.astype("<i4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(r[5] for r in rows))
+    return struct.pack("<q", int(count.sum())) + zstandard.ZstdCompressor(level=1).compress(head + b"".join(r[5] for r in rows))
+
+
+def windows_in(blob: bytes) -> int:
+    return struct.unpack_from("<q", blob)[0]
 
 
 def unpack(blob: bytes) -> tuple:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = zstandard.ZstdDecompressor().decompress(blob[8:])
     (n,) = struct.unpack_from("<q", raw)
     at, out = 8, []
     for kind in ("<i8", "<i8", "<i4", "<i4", "<i4"):
@@ -166,6 +173,7 @@ def send(chunks: Callable[[Iterable[pa.RecordBatch]], Iterator[tuple]], k: int,
                 yield from flush()
                 size = 0
         yield from flush()
+        trim()
 
     return run
 
@@ -173,45 +181,90 @@ def send(chunks: Callable[[Iterable[pa.RecordBatch]], Iterator[tuple]], k: int,
 RANGES = "doc_id bigint, rid bigint, start int, stop int"
 
 
-def settle(ranks: Callable, k: int) -> Callable:
+def settle(ranks: Callable, keys: Callable, k: int) -> Callable:
     """The reduce side: of each bucket, the windows that also start in a document with a smaller doc_id, as token ranges."""
 
     def ranges(ids: np.ndarray, rid: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rid, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["doc_id", "rid", "start", "stop"])
 
-    def bucket_of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        parts = [unpack(b) for b in blobs]
-        ids, rid, start, count = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(4))
-        if not len(parts[0][5]) and not any(len(p[5]) for p in parts):
-            yield ranges(ids, rid, start, start + count + k - 1)
-            return
-        run = np.repeat(np.arange(len(ids)), count)
-        own = ids[run]
-        repeated = np.zeros(len(run), bool)
-        at, least = ranks(parts, count, own)
-        repeated[at] = own[at] > least
-        del own
+    def covered(ids: np.ndarray, rid: np.ndarray, start: np.ndarray, count: np.ndarray, repeated: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Ranges of the windows that are repeated; windows lie run by run."""
         at = np.flatnonzero(repeated)
         if not len(at):
             return
-        within = at - (np.cumsum(count) - count)[run[at]]
-        r = run[at]
+        begin = np.cumsum(count) - count
+        r = np.searchsorted(begin, at, side="right") - 1
+        within = at - begin[r]
         first = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (r[1:] != r[:-1])])
         last = np.append(first[1:], True)
         r = r[first]
         yield ranges(ids[r], rid[r], start[r] + within[first], start[r] + within[last] + k)
 
+    def whole(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack(b) for b in blobs]
+        ids, rid, start, count = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(4))
+        own = np.repeat(ids, count)
+        repeated = np.zeros(len(own), bool)
+        at, least = ranks(parts, count, own)
+        repeated[at] = own[at] > least
+        del own, at, least, parts
+        yield from covered(ids, rid, start, count, repeated)
+
+    def sliced(blobs: list[bytes], slices: int) -> Iterator[pa.RecordBatch]:
+        """The same by the least document of each window hash, a slice of the hashes at a time; one task's share is unpacked at a time."""
+        marks: list[np.ndarray | None] = [None] * len(blobs)
+
+        def of(blob: bytes, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+            part = unpack(blob)
+            key = keys(part)
+            at = np.flatnonzero(key % np.uint64(slices) == which)
+            return key[at], np.repeat(part[0], part[3])[at], at, len(key)
+
+        def least(key: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            order = np.argsort(key, kind="stable")
+            key, own = key[order], own[order]
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            return key[head], np.minimum.reduceat(own, head) if len(head) else own
+
+        for which in range(slices):
+            table, held, size = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
+            for blob in blobs:
+                held.append(least(*of(blob, which)[:2]))
+                size += len(held[-1][0])
+                if size > SLICE // 2 or blob is blobs[-1]:
+                    table = least(*(np.concatenate([table[i], *(h[i] for h in held)]) for i in (0, 1)))
+                    held, size = [], 0
+            for i, blob in enumerate(blobs):
+                key, own, at, n = of(blob, which)
+                flags = np.zeros(n, bool)
+                flags[at[own > table[1][np.searchsorted(table[0], key)]]] = True
+                bits = np.packbits(flags)
+                marks[i] = bits if marks[i] is None else marks[i] | bits
+        for blob, bits in zip(blobs, marks, strict=True):
+            ids, rid, start, count = (x.astype(np.int64) for x in unpack(blob)[:4])
+            yield from covered(ids, rid, start, count, np.unpackbits(bits, count=int(count.sum())).astype(bool))
+
+    def bucket_of(blobs: list[bytes], settled: bool) -> Iterator[pa.RecordBatch]:
+        if settled:  # runs that a task has found repeated itself
+            for blob in blobs:
+                ids, rid, start, count = (x.astype(np.int64) for x in unpack(blob)[:4])
+                yield ranges(ids, rid, start, start + count + k - 1)
+            return
+        windows = sum(windows_in(b) for b in blobs)
+        yield from (whole(blobs) if windows <= SLICE else sliced(blobs, -(-windows // SLICE)))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if b != now and blobs:
-                    yield from bucket_of(blobs)
+                    yield from bucket_of(blobs, now < 0)
                     blobs = []
                 now = b
                 blobs.append(blob)
         if blobs:
-            yield from bucket_of(blobs)
+            yield from bucket_of(blobs, now < 0)
+        trim()
 
     return run
 
@@ -232,18 +285,15 @@ def group_least(keys: tuple[np.ndarray, ...], own: np.ndarray) -> tuple[np.ndarr
     return order, np.repeat(np.minimum.reduceat(own[order], head), np.diff(np.append(head, len(order))))
 
 
-def repeated_ranges(docs: DataFrame, chunks: Callable, ranks: Callable, k: int, m: int, name: str) -> tuple[DataFrame, DataFrame]:
+def repeated_ranges(docs: DataFrame, chunks: Callable, ranks: Callable, keys: Callable, k: int, m: int, name: str) -> tuple[DataFrame, DataFrame]:
     """(documents with rid, their repeated token ranges by doc_id and rid). Rows with a null doc_id or text take no part."""
-    spark = docs.sparkSession
     buckets = max(12, -(-source_bytes(docs) // BUCKET_BYTES))
     keep_rid = ids_repeat(docs)
     base = documents(docs).select("doc_id", F.xxhash64("text").alias("rid") if keep_rid else F.lit(0).cast("bigint").alias("rid"), "text")
     packed = base.where("doc_id is not null and text is not null").mapInArrow(send(chunks, k, m, buckets, keep_rid), PACKED)
-    found = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settle(ranks, k), RANGES)
-    found = staged(found, name)
-    del packed
-    free_shuffles(spark)
-    return base, found
+    partitions = max(12, -(-source_bytes(docs) // PARTITION_BYTES))
+    found = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(settle(ranks, keys, k), RANGES)
+    return base, staged(found, name)
 
 
 SQUEEZED = "doc_id bigint, rid bigint, body binary"

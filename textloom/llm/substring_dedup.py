@@ -89,9 +89,25 @@ def ranks(k: int):
     return of
 
 
+def keys(k: int):
+    def of(part: tuple) -> np.ndarray:
+        """A hash of the k words of each window of one task's share of a bucket."""
+        count, known, words, a = part[3].astype(np.int64), Intern(), [], 0
+        for b in np.cumsum(part[4].astype(np.int64)).tolist():
+            words += part[5][a:b].split(b" ")
+            a = b
+        names = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        base = np.cumsum(count + k - 1) - (count + k - 1)
+        start = np.repeat(base - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        one, two = (runs.Rolled(runs.mix(names + np.uint64(1 + i)), i).of(start, start + k) for i in (0, 1))
+        return runs.mix(one + runs.mix(two))
+
+    return of
+
+
 def substring_dedup(docs: DataFrame, k: int = 50, m: int = 4) -> tuple[DataFrame, DataFrame]:
     """(documents, repeated word ranges): start and stop count words; a range is covered by windows that also start in a smaller doc_id."""
-    return runs.repeated_ranges(docs, chunks, ranks(k), k, min(m, k), "superkmers")
+    return runs.repeated_ranges(docs, chunks, ranks(k), keys(k), k, min(m, k), "superkmers")
 
 
 def kept_words(text: bytes, spans: list[list[int]]) -> tuple[int, int, bytes]:

@@ -83,7 +83,10 @@ def ranks(k: int, first: int):
             else:
                 alive[np.flatnonzero(alive)[~stay]] = False
             if length >= k:
-                return np.flatnonzero(alive)[np.cumsum(stay)[order] - 1], least
+                # equal ranks are confirmed by a second hash of all k bytes
+                places, second = np.flatnonzero(alive), spans(parts, k, alive, 0, 1)
+                order, least = runs.group_least((rank[stay], second), own[places])
+                return places[order], least
             if not len(order):
                 return order, least
             step = min(length, k - length)  # the pair (rank at i, rank at i + step) spans length + step bytes
@@ -93,9 +96,20 @@ def ranks(k: int, first: int):
     return of
 
 
+def keys(k: int):
+    def of(part: tuple) -> np.ndarray:
+        """A hash of the k bytes of each window of one task's share of a bucket."""
+        raw, count, size = np.frombuffer(part[5], np.uint8), part[3].astype(np.int64), part[4].astype(np.int64)
+        start = np.repeat(np.cumsum(size) - size - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        one, two = (runs.Rolled(BYTE[i][raw], i).of(start, start + k) for i in (0, 1))
+        return mix(one + mix(two))
+
+    return of
+
+
 def suffix_dedup(docs: DataFrame, k: int = 50, m: int = 16) -> tuple[DataFrame, DataFrame]:
     """(documents, repeated byte ranges)."""
-    return runs.repeated_ranges(docs, chunks, ranks(k, -(-k // 2)), k, min(m, k), "suffixes")
+    return runs.repeated_ranges(docs, chunks, ranks(k, -(-k // 2)), keys(k), k, min(m, k), "suffixes")
 
 
 def kept_bytes(text: bytes, spans: list[list[int]]) -> bytes:
