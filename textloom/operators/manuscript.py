@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.dialect import Dialect
-from ..functions.tex import CITE, DEFINITION, DISPLAY, HEADING, INLINE, LABEL_REF, NUMBER_BODY, SILENT, blanked, definitions, markdown, numeral_text, plain, prose_words
+from ..functions.tex import CITE, DEFINITION, DISPLAY, HEADING, INLINE, LABEL_REF, NUMBER_BODY, SILENT, blanked, bucket, definitions, markdown, numeral_text, plain, prose_words
 
 # What the detectors on labels look for.
 LABEL = r"\\(?:chapter|section|subsection|subsubsection|paragraph|caption)\*?\s*(?:\[[^\]]*\])?\s*\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
@@ -56,7 +56,49 @@ def expanded(q: Dialect) -> str:
 BLANK_LINE, WHITE = r"\n\s*\n", r"\s+"
 
 
+ACRONYM_DEFINITION = r"\(([A-Z][A-Za-z0-9]{1,9})s?\)"
+DEFINING = r"(?i)\b(?:we (?:define|call|term|name|introduce|refer to)|hereafter|henceforth|denoted?|which we call)\b"
+OBJECT_EDGE = r"(?i)[,;:.()]|\b(?:using|with|by|from|in|for|and|or|to|via|through|that|which|where|when|whose|as)\b.*$"
+FRONT_MATTER = r"(?s)\A---\n.*?\n---[ \t]*(?:\n|\z)"
+# Limits of a printed heading.
+MAX_HEADING_WORDS, MIN_HEADING_WORDS, MIN_LETTERS, LETTER_SHARE, CAPITAL_SHARE = 12, 2, 4, 0.75, 0.6
+
+
+def printed_headings(q: Dialect) -> str:
+    """Lines that look like headings of a printed page: numbered short titles, or short lines mostly in capitals, with their roles."""
+    t = q.t
+    lines = q.explode("doc_id", "line", "s", t.split("text", r"\n"), "tex")
+    body = t.sub("trim(s)", r"^\d+(?:\.\d+)*\.?\s+")
+    words, letters, capitals, dense = (t.count("body", p) for p in (r"\S+", r"[A-Za-z]", r"[A-Z]", r"\S"))
+    ok = f"words BETWEEN {MIN_HEADING_WORDS} AND 10 AND letters >= {MIN_LETTERS}"
+    numbered = f"numbered AND {ok} AND NOT {t.like('body', r'[.!?]\s*$')}"
+    capital = f"{ok} AND letters >= {LETTER_SHARE} * dense AND capitals >= {CAPITAL_SHARE} * letters"
+    base = f"SELECT doc_id, line, body, numbered, {words} AS words, {letters} AS letters, {capitals} AS capitals, {dense} AS dense FROM (SELECT doc_id, line, {body} AS body, {t.like('trim(s)', r'^\d+(?:\.\d+)*\.?\s+')} AS numbered FROM ({lines}) l WHERE NOT {t.like('s', '[,;?]')}) b"
+    return f"SELECT doc_id, CAST(line AS BIGINT) AS line, body AS title, coalesce({bucket(t, 'body')}, 'unknown') AS bucket FROM ({base}) x WHERE words <= {MAX_HEADING_WORDS} AND ({numbered} OR {capital})"
+
+
+def definitions_in(q: Dialect) -> str:
+    """Terms that a manuscript defines: acronyms in parentheses, and the words behind a defining phrase up to the next clause."""
+    acronyms = q.explode("doc_id", "k", "v", q.t.all("plain", ACRONYM_DEFINITION, 1), "tex_units")
+    tails = f"SELECT doc_id, {q.t.sub(q.t.sub('s', '(?i)^.*?' + DEFINING[4:]), OBJECT_EDGE)} AS object FROM tex_sentences WHERE {q.t.like('s', DEFINING)}"
+    words = q.explode("doc_id", "k", "v", q.t.all("object", REGISTER_WORD), f"({tails}) o")
+    return f"SELECT DISTINCT doc_id, 'acronym' AS kind, {normal(q, 'v')} AS term FROM ({acronyms}) a UNION ALL SELECT DISTINCT doc_id, 'defined', {normal(q, 'v')} FROM ({words}) w"
+
+
+def names(q: Dialect) -> str:
+    """Words that stand with a capital wherever they stand inside a sentence, and never without."""
+    words = q.explode("doc_id, section, unit, sent", "k", "v", q.t.all("s", REGISTER_WORD), "tex_sentences")
+    return f"SELECT doc_id, {normal(q, 'v')} AS term, count(*) AS n FROM ({words}) w WHERE k > 0 GROUP BY doc_id, {normal(q, 'v')} HAVING sum(CASE WHEN {q.t.like('v', '^[A-Z]')} THEN 0 ELSE 1 END) = 0"
+
+
 QUERIES = {
+    "p10_document_source": lambda q: f"SELECT doc_id, CASE WHEN {q.t.like('text', r'\\(?:documentclass|section|begin)')} THEN {q.t.comments_gone('text')} ELSE {q.t.sub('text', FRONT_MATTER)} END AS source FROM tex",
+    "p18_printed_headings": printed_headings,
+    "g9_printed_sections": lambda q: f"SELECT doc_id, bucket, count(*) AS n_headings, min(line) AS first_line FROM ({printed_headings(q)}) h WHERE bucket <> 'unknown' GROUP BY doc_id, bucket",
+    "f9_sentence_start_lines": lambda q: f"SELECT doc_id, CAST(line AS BIGINT) AS line FROM (SELECT doc_id, line, s, lag(s) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM ({q.explode('doc_id', 'line', 's', q.t.split('text', chr(92) + 'n'), 'tex')}) l WHERE trim(s) <> '') p WHERE before IS NULL OR {q.t.like('before', r'[.!?:}]\s*$')}",
+    "f17_numeric_macros": lambda q: f"SELECT doc_id, d.name AS name, d.body AS body FROM ({q.explode('doc_id', 'k', 'd', definitions(q.t, q.t.comments_gone('text')), 'tex')}) x",
+    "d24_definitions": definitions_in,
+    "d24_capitalised_names": names,
     "p1_latex_to_plain": lambda q: f"SELECT doc_id, {plain(q.t, 'text')} AS plain FROM tex",
     "p2_numeral_text": lambda q: f"SELECT doc_id, {numeral_text(q.t, 'text')} AS plain FROM tex",
     "p3_paired_paragraphs": lambda q: f"SELECT doc_id, CAST({q.size('a')} AS BIGINT) AS n_plain, CAST({q.size('b')} AS BIGINT) AS n_numeral, {q.size('a')} = {q.size('b')} AS paired FROM (SELECT doc_id, {q.t.split(plain(q.t, 'text'), BLANK_LINE)} AS a, {q.t.split(numeral_text(q.t, 'text'), BLANK_LINE)} AS b FROM tex) p",

@@ -206,6 +206,10 @@ QUERIES = {
     "j11_citations_both_ways": lambda q: f"WITH cited AS (SELECT DISTINCT trim(key) AS key FROM ({q.explode('doc_id, line', 'k', 'key', q.t.split(q.t.first('v', r'\{([^{}]*)\}$', 1), ','), f'({cites(q)}) c')}) x WHERE doc_id = -100 AND trim(key) <> ''), known AS (SELECT key FROM ({entries(q)}) e) SELECT c.key, 'reference-missing-entry' AS rule FROM cited c LEFT JOIN known k ON c.key = k.key WHERE k.key IS NULL UNION ALL SELECT k.key, 'reference-uncited' FROM known k LEFT JOIN cited c ON c.key = k.key WHERE c.key IS NULL",
     "x22_invariants": lambda q: f"SELECT pair, side, category, token, count(*) AS n FROM ({tokens(q, pair_sides(q))}) t GROUP BY pair, side, category, token",
     "x22_document_invariants": lambda q: f"SELECT pair AS doc_id, category, count(*) AS n FROM ({tokens(q, 'SELECT doc_id AS pair, ' + chr(39) + 'own' + chr(39) + ' AS side, text AS x FROM tex')}) t GROUP BY pair, category",
+    "f18_units": lambda q: f"SELECT pair, side, token FROM ({tokens(q, pair_sides(q))}) t WHERE category = 'units'",
+    "j14_allowances": lambda q: f"SELECT w.key, count(x.label) AS n_labels, count(x.label) > 1 AS ambiguous FROM ({rows(q, ('key', 'reason'), ALLOWANCES)}) w LEFT JOIN (SELECT DISTINCT lower(title) AS label FROM tex_sections WHERE section > 0 AND doc_id <= -103) x ON contains(x.label, w.key) GROUP BY w.key",
+    "j15_two_labels": lambda q: "SELECT f.doc_id, f.quality AS first_label, s.second AS second_label, f.quality = s.second AS agree FROM labels f JOIN (SELECT doc_id, CASE WHEN n_chars > 800 THEN 1 ELSE 0 END AS second FROM documents) s ON f.doc_id = s.doc_id",
+    "j20_variant_else_base": lambda q: "SELECT b.t, b.lang, CASE WHEN v.n >= 30 THEN v.k ELSE a.k END AS df, CASE WHEN v.n >= 30 THEN 'variant' ELSE 'base' END AS bank FROM (SELECT t, lang, count(*) AS k0 FROM (SELECT DISTINCT d.lang, t.t, t.doc_id FROM terms t JOIN documents d ON t.doc_id = d.doc_id) x GROUP BY t, lang) b JOIN (SELECT t, count(*) AS k FROM terms GROUP BY t) a ON a.t = b.t JOIN (SELECT lang, t, count(*) AS k, max(n) AS n FROM (SELECT DISTINCT d.lang, t.t, t.doc_id, l.n FROM terms t JOIN documents d ON t.doc_id = d.doc_id JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) l ON d.lang = l.lang) y GROUP BY lang, t) v ON v.t = b.t AND v.lang = b.lang",
     "j18_invariant_difference": difference,
     "rewrite_eligibility": eligibility,
     "j13_j14_length_gate": gate,
