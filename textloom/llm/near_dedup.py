@@ -29,13 +29,13 @@ from .common import documents, mix, source_bytes, staged, trim
 from .components import components
 from .words import groups, hashed_words
 
-TREES, DEPTH, BRANCH, SMALL = 4, 12, 2, 256
+TREES, DEPTH, BRANCH, SMALL = 4, 12, 2, 1024
 #: Levels whose minwise tokens have 64 bits; below them a token is a byte of the sketch.
 MARKED = 3
 #: Rounds in which components are joined by their most similar members, before what is left is compared exhaustively.
-MERGES = 1
+MERGES = 2
 #: Members of a group of a node that stays large; a block holds two groups.
-BLOCK = 1024
+BLOCK = 2048
 #: Entries of a matrix of intersections that are held at once.
 TILE = 1 << 22
 SKETCH = 128
