@@ -164,7 +164,7 @@ def hedging(q: Dialect) -> str:
     """Hedges a thousand words, over sections of 150 words."""
     words = q.t.all("plain", DISCOURSE_WORD)
     hedges = q.size(q.t.keep(words, f"lower(v) IN {words_in(HEDGES)}"))
-    return f"SELECT doc_id, bucket, CAST(sum(h) AS BIGINT) AS hedge_count, CAST(sum(n) AS BIGINT) AS n_words, round(1000.0 * sum(h) / sum(n), 6) AS hedging FROM (SELECT doc_id, bucket, {hedges} AS h, {q.size(words)} AS n FROM tex_units) u GROUP BY doc_id, bucket HAVING sum(n) >= 150"
+    return f"SELECT doc_id, bucket, CAST(sum(h) AS BIGINT) AS hedge_count, CAST(sum(n) AS BIGINT) AS n_words, round(1000.0 * sum(h) / nullif(sum(n), 0), 6) AS hedging FROM (SELECT doc_id, bucket, {hedges} AS h, {q.size(words)} AS n FROM tex_units) u GROUP BY doc_id, bucket HAVING sum(n) >= 150"
 
 
 def anchored(q: Dialect) -> str:

@@ -28,12 +28,12 @@ QUERIES = {
     "j11_anti_join": lambda q: "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "j12_registry": lambda q: "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unmeasured' WHEN l.quality = 0 THEN 'integrity_blocker' ELSE 'measured' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "j18_bag_difference": lambda q: f"SELECT a.doc_id, a.t, a.n - coalesce(b.n, 0) AS more FROM ({BAGS}) a LEFT JOIN (SELECT doc_id + 1 AS doc_id, t, n FROM ({BAGS}) x) b ON a.doc_id = b.doc_id AND a.t = b.t WHERE a.n > coalesce(b.n, 0)",
-    "j19_top_k": lambda q: f"SELECT query_id, vec_id, score FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM (SELECT a.vec_id AS query_id, e.vec_id, round({q.dot('a.embedding', 'e.embedding')} / sqrt({q.dot('a.embedding', 'a.embedding')} * {q.dot('e.embedding', 'e.embedding')}), 4) AS score FROM embeddings e CROSS JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) a) s) r WHERE k <= 10",
+    "j19_top_k": lambda q: f"SELECT query_id, vec_id, score FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM (SELECT a.vec_id AS query_id, e.vec_id, round({q.dot('a.embedding', 'e.embedding')} / nullif(sqrt({q.dot('a.embedding', 'a.embedding')} * {q.dot('e.embedding', 'e.embedding')}), 0), 4) AS score FROM embeddings e CROSS JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) a) s) r WHERE k <= 10",
     "o6_top_words": lambda q: "SELECT t, n FROM (SELECT lower(w) AS t, count(*) AS n FROM words GROUP BY lower(w)) c ORDER BY n DESC, t LIMIT 50",
     "o7_lead_feature": lambda q: "SELECT doc_id, CASE WHEN c >= g AND c >= w THEN 'commas' WHEN g >= w THEN 'digits' ELSE 'words' END AS lead FROM (SELECT doc_id, sum(n_commas) * 10 AS c, sum(n_digits) * 10 AS g, sum(n_words) AS w FROM line_features GROUP BY doc_id) f",
     "u2_shared_terms": lambda q: "SELECT source, count(*) AS shared FROM (SELECT source, t FROM terms INTERSECT SELECT source, t FROM (SELECT t, count(DISTINCT source) AS k FROM terms GROUP BY t HAVING count(DISTINCT source) >= 2) w JOIN (SELECT DISTINCT source FROM documents) s ON true) x GROUP BY source",
     "u3_own_terms": lambda q: f"SELECT doc_id, w, count(*) AS more FROM (SELECT d.doc_id, lower(w) AS w FROM words d EXCEPT ALL SELECT p.doc_id + 1, lower(w) FROM words p) x GROUP BY doc_id, w",
     "u4_first_of_each": lambda q: f"SELECT {q.md5('text')} AS digest, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY {q.md5('text')}",
-    "x5_cosine_neighbours": lambda q: f"SELECT a.vec_id, round(sum(a.v * b.v) / sqrt(sum(a.v * a.v)) / sqrt(sum(b.v * b.v)), 4) AS cosine FROM ({q.vec('dim', 'v')}) a JOIN (SELECT vec_id - 1 AS p, dim AS d, v FROM ({q.vec('dim', 'v')}) z) b ON a.vec_id = b.p AND a.dim = b.d GROUP BY a.vec_id",
+    "x5_cosine_neighbours": lambda q: f"SELECT a.vec_id, round(sum(a.v * b.v) / nullif(sqrt(sum(a.v * a.v)), 0) / nullif(sqrt(sum(b.v * b.v)), 0), 4) AS cosine FROM ({q.vec('dim', 'v')}) a JOIN (SELECT vec_id - 1 AS p, dim AS d, v FROM ({q.vec('dim', 'v')}) z) b ON a.vec_id = b.p AND a.dim = b.d GROUP BY a.vec_id",
     "x10_conformal_p": lambda q: f"SELECT s.doc_id, round((1.0 + t.total - r.below) / (1.0 + t.total), 6) AS p FROM ({LENGTHS}) s JOIN (SELECT n_chars, CAST(sum(c) OVER (ORDER BY n_chars ROWS UNBOUNDED PRECEDING) AS BIGINT) - c AS below FROM (SELECT n_chars, count(*) AS c FROM ({LENGTHS}) x GROUP BY n_chars) g) r ON s.n_chars IS NOT DISTINCT FROM r.n_chars CROSS JOIN (SELECT count(*) AS total FROM labels) t",
 }
