@@ -65,9 +65,12 @@ def edits(now: DataFrame, before: DataFrame) -> DataFrame:
 
 def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Units of the manuscripts and documents, and an earlier version of them: without every third unit and every fifth word."""
-    units = sql(spark, sf_dir, lambda q: "SELECT doc_id, section * 100000 + unit AS unit, plain AS text FROM tex_units")
+    def units() -> DataFrame:  # one for each side, so that they share no columns
+        return sql(spark, sf_dir, lambda q: "SELECT doc_id, section * 100000 + unit AS unit, plain AS text FROM tex_units")
+
     fewer = F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 5 != 4), " ")
-    return units, units.where("unit % 3 <> 2").select("doc_id", "unit", F.when(F.col("unit") % 2 == 1, fewer).otherwise(F.col("text")).alias("text"))
+    before = units().where("unit % 3 <> 2").select((F.col("doc_id") + 0).alias("doc_id"), (F.col("unit") + 0).alias("unit"), F.when(F.col("unit") % 2 == 1, fewer).otherwise(F.concat("text", F.lit(""))).alias("text"))
+    return units(), before
 
 
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +88,7 @@ def personal_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document, the share of features whose spread is at most that of a tenth of the other documents of its source; flagged from 40 %, strong from 60 %."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
     rows = sql(spark, sf_dir, modelfree).groupBy("doc_id").agg(*(F.stddev_pop(x).alias(x) for x in NAMES), F.count("*").alias("n")).where("n >= 2").join(d, "doc_id")
-    long = rows.select("doc_id", "source", F.explode(F.array(*(F.struct(F.lit(x).alias("feature"), F.round(x, 9).alias("v")) for x in NAMES))).alias("f")).select("doc_id", "source", "f.*")
+    long = rows.select("doc_id", "source", F.explode(F.array(*(F.struct(F.lit(x).alias("feature"), F.round(x, 9).alias("v")) for x in NAMES))).alias("one_of")).select("doc_id", "source", "one_of.feature", "one_of.v")
     counts = long.groupBy("source", "feature", "v").count()
     counts.createOrReplaceTempView("spreads_by_source")
     share = spark.sql("SELECT source, feature, v, (sum(count) OVER (PARTITION BY source, feature ORDER BY v) - 1) / nullif(sum(count) OVER (PARTITION BY source, feature) - 1, 0) AS share FROM spreads_by_source")
