@@ -121,6 +121,11 @@ def numbers(q: Dialect, x: str) -> str:
     return q.t.all(apart, rf"(?:^|[^A-Za-z\d.])([-+−]?{NUMBER})", 1)
 
 
+def ascii_letters(t, x: str) -> str:  # noqa: ANN001
+    """x with one plain letter for each character beyond ASCII, at whose edges the engines would differ on word boundaries."""
+    return t.sub(x, r"[^\x00-\x7F]", "x")
+
+
 def tokens(q: Dialect, pairs: str) -> str:
     """pair, side, category and token of every protected invariant; bags keep each occurrence."""
     t = q.t
@@ -132,7 +137,7 @@ def tokens(q: Dialect, pairs: str) -> str:
         "numbers": numbers(q, numeral_text(t, "x")),
         "citations": t.split(q.joined(t.all(raw, r"\\cite\w*\{([^}]+)\}", 1), ","), r"\s*,\s*"),
         "math": t.all(raw, r"\$([^$]+)\$", 1),
-        "acronyms": t.all(q.joined(prose_words(t, plain(t, "x")), " "), r"\b[A-Z](?:[A-Z0-9]|-(?=[A-Z0-9]))+\b" if spark else r"\b[A-Z][A-Z0-9]*(?:-[A-Z0-9]+)*\b"),
+        "acronyms": t.all(ascii_letters(t, q.joined(prose_words(t, plain(t, "x")), " ")), r"\b[A-Z](?:[A-Z0-9]|-(?=[A-Z0-9]))+\b" if spark else r"\b[A-Z][A-Z0-9]*(?:-[A-Z0-9]+)*\b"),
         "latex_macros": t.keep(t.map(t.all(raw, r"\\([a-zA-Z]+)\*?", 1), "lower(v)"), f"v NOT IN {words_in(FORMATTING)}"),
         "comparison_direction": t.all(plain(t, "x"), DIRECTION),
         "negation": t.all(plain(t, "x"), NEGATIONS),
