@@ -29,7 +29,7 @@ from .common import documents, mix, source_bytes, staged, trim
 from .components import components
 from .words import groups, hashed_words
 
-TREES, DEPTH, BRANCH, SMALL = 4, 12, 2, 1024
+TREES, DEPTH, BRANCH, SMALL = 4, 12, 2, 2048
 #: Levels whose minwise tokens have 64 bits; below them a token is a byte of the sketch.
 MARKED = 3
 #: Rounds in which components are joined by their most similar members, before what is left is compared exhaustively.
