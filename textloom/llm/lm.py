@@ -29,7 +29,7 @@ from .words import groups, hashed_words
 
 VOCABULARY, FREQUENT = 4096, 1 << 20
 #: Tokens that a task gathers before it trains on them, so that lanes come out about equally long.
-HELD = 1_600_000
+HELD = 2_200_000
 #: Bytes of text taken apart at once, and rows of a batch of counts.
 PART_BYTES, ROWS = 4 << 20, 100_000
 BLOCK = 4096
