@@ -28,3 +28,9 @@ def test_words_of_invariants_end_at_letters_beyond_ascii(both):
     got, want = both("x22_document_invariants", ["aresta noñmentellar ñno, no es más. ólower éthus, not"])
     assert got == want
     assert {(0, "negation", 4), (0, "comparison_direction", 1), (0, "causal_direction", 1)} <= set(got)
+
+
+def test_deviations_halfway_between_two_rounded_ones(both):
+    line = lambda n: "A word, " + "word " * (n - 3) + "end."
+    got, want = both("a11_w7_dispersion", [f"{line(30)}\n{line(n)}" for n in range(31, 71)])
+    assert len(got) >= 80 and got == want
