@@ -1,5 +1,7 @@
 """Cases in which the plan and the SQL once differed, on tables of a few rows."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -34,3 +36,15 @@ def test_deviations_halfway_between_two_rounded_ones(both):
     line = lambda n: "A word, " + "word " * (n - 3) + "end."
     got, want = both("a11_w7_dispersion", [f"{line(30)}\n{line(n)}" for n in range(31, 71)])
     assert len(got) >= 80 and got == want
+
+
+def test_a_deviation_of_four_is_in_the_middle_bin(spark, tmp_path):
+    r = random.Random(3)
+    texts = []
+    while len(texts) < 60:
+        lengths = [r.randint(1, 16) for _ in range(r.choice([3, 6, 7, 9, 11]))]
+        k = len(lengths)
+        if k * sum(n * n for n in lengths) - sum(lengths) ** 2 == 16 * k * k:
+            texts.append(" ".join("Word" + " word" * (n - 1) + "." for n in lengths))
+    spark.createDataFrame([(i, x, "en", "src0", len(x)) for i, x in enumerate(texts)], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalog.queries()["x15_bins"](spark, str(tmp_path)).collect() == [("middle", 60)]
