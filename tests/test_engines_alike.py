@@ -48,3 +48,9 @@ def test_a_deviation_of_four_is_in_the_middle_bin(spark, tmp_path):
             texts.append(" ".join("Word" + " word" * (n - 1) + "." for n in lengths))
     spark.createDataFrame([(i, x, "en", "src0", len(x)) for i, x in enumerate(texts)], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
     assert catalog.queries()["x15_bins"](spark, str(tmp_path)).collect() == [("middle", 60)]
+
+
+def test_openers_are_searched_once_a_line(spark, tmp_path):
+    spark.createDataFrame([(0, "Recent advances in x.", "en", "src0", 21)], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = catalog.queries()["d3_openers"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("despite significant progress") == 2  # after a sentence, and at the start of a line
