@@ -54,3 +54,9 @@ def test_openers_are_searched_once_a_line(spark, tmp_path):
     spark.createDataFrame([(0, "Recent advances in x.", "en", "src0", 21)], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
     plan = catalog.queries()["d3_openers"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("despite significant progress") == 2  # after a sentence, and at the start of a line
+
+
+def test_roots_of_words_are_made_in_one_scan_of_them(spark, tmp_path):
+    spark.createDataFrame([(0, "A word.", "en", "src0", 7)], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = catalog.queries()["p13_native_stems"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 6  # before, 156
