@@ -60,3 +60,9 @@ def test_roots_of_words_are_made_in_one_scan_of_them(spark, tmp_path):
     spark.createDataFrame([(0, "A word.", "en", "src0", 7)], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
     plan = catalog.queries()["p13_native_stems"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") <= 6  # before, 156
+
+
+def test_sentences_of_a_unit_are_compared_once(spark, tmp_path):
+    spark.createDataFrame([(0, "A word.", "en", "src0", 7)], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = catalog.queries()["a22_w1_cohesion"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("array_intersect") == 1
