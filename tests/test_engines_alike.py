@@ -66,3 +66,8 @@ def test_sentences_of_a_unit_are_compared_once(spark, tmp_path):
     spark.createDataFrame([(0, "A word.", "en", "src0", 7)], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
     plan = catalog.queries()["a22_w1_cohesion"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("array_intersect") == 1
+
+
+def test_sentences_of_units_are_made_once_for_all_axes(spark):
+    plan = catalog.queries()["axis_status"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_intersect") == 1  # before, 2

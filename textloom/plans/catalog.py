@@ -19,6 +19,10 @@ FRAMES = docshape.FRAMES | models.FRAMES | provenance.FRAMES | readers.FRAMES
 
 def plan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     q = Spark()
+    for view, body in axes.VIEWS.get(name, {}).items():
+        text = q.sql(body(q))
+        register(spark, sf_dir, text)
+        spark.sql(text).createOrReplaceTempView(view)
     text = q.sql(BODIES[name](q))
     register(spark, sf_dir, text)
     return spark.sql(text)
